@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, toxicity
 from .runtime import new_path, table
 from .tokens import TokenStore, default_tokenizer
 
@@ -29,6 +29,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.resolve(table(spark, sf_dir, "documents"), near_dedup.Params(words=3, percent=85))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_exact_dedup, op5_mixing, op6_token_store, op7_quality_model, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_exact_dedup, op5_mixing, op6_token_store, op7_quality_model, op8_near_dedup, op9_quality_rules, op10_toxicity)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
