@@ -30,23 +30,42 @@ BLOCK, CUT = 256, 4
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Deal items to k windows: lists of indexes, by Karmarkar-Karp differencing. Ties go by index."""
+    """Deal items to k windows: lists of indexes, by Karmarkar-Karp differencing. Ties go by index.
+
+    A partial partition is k sums in falling order and, for each, the node that holds its items: 0 for
+    none, i + 1 for item i, a later number for the two nodes that were put together.
+    """
     if k <= 1:
         return [list(range(len(sizes)))] if k else []
-    heap = []
+    heap, joined, first = [], [], len(sizes) + 1
     for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+        sums, nodes = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        sums[0], nodes[0] = s, i + 1
+        heap.append((-s, i, sums, nodes))
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, i, a, pa_ = heapq.heappop(heap)
-        _, j, b, pb_ = heapq.heappop(heap)
-        sums, parts = a + b[::-1], [x + y if y else x for x, y in zip(pa_, reversed(pb_))]
+        _, i, a, x = heapq.heappop(heap)
+        _, j, b, y = heap[0]
+        y = y[::-1]
+        sums, nodes = a + b[::-1], x + y
+        for at in np.flatnonzero(x * y):
+            joined.append((int(x[at]), int(y[at])))
+            nodes[at] = first + len(joined) - 1
         order = np.argsort(-sums, kind="stable")
-        sums, parts = sums[order], [parts[x] for x in order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), min(i, j), sums, parts))
-    return heap[0][3] if heap else []
+        sums = sums[order]
+        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), min(i, j), sums, nodes[order]))
+
+    def items(node: int) -> list[int]:
+        out, todo = [], [node] * (node > 0)
+        while todo:
+            n = todo.pop()
+            if n < first:
+                out.append(n - 1)
+            else:
+                todo += joined[n - first]
+        return out
+
+    return [items(int(n)) for n in heap[0][3]] if heap else []
 
 
 def balanced(tails: list[tuple[int, int, int]], window: int) -> list[list[tuple[int, int, int]]]:
