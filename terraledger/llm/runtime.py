@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraledger.session import reachable
+
 #: The white space of the operators' contracts, as the inside of a regex class.
 WS = r"\x20\x09-\x0D"
 
@@ -52,7 +54,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
