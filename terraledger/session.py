@@ -1,10 +1,14 @@
-"""Sessions: what Python workers need to import this package, and a local session for tests and benchmarks."""
+"""Sessions: what Python workers need to import this package, tables in the shared folder, and a local session."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -30,3 +34,27 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     return reachable(spark)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    local = tempfile.mkdtemp(prefix="terraledger-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{local}")
+    return f"file://{local}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
