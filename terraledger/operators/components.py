@@ -18,12 +18,13 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     mark = None
     for _ in range(most_rounds):
-        # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
+        # Large star: every larger neighbour of u goes to the smallest of u and its neighbours. The minima
+        # are written, so that both sides of the join shuffle for it and AQE can split a hub's rows.
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), name)
         # Small star: u and its smaller neighbours go to the smallest of them.
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_least = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         now = written(small, name)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38, 0)"))).first()
