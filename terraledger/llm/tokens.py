@@ -1,9 +1,8 @@
 """Token ids of whole texts, and a Parquet store of token lists.
 
-The store keeps one row per document in ascending document order: the ids as a LIST column
-(dictionary encoding while the dictionary is small, DELTA_BINARY_PACKED after that), the
-per-document metadata as plain columns in the same row groups, bounded row groups, and page
-indexes with bounded pages. So a metadata read touches no ids, and a read of a few documents
+The store keeps one row per document in ascending document order: the ids as a LIST column with
+DELTA_BINARY_PACKED encoding, the per-document metadata as dictionary or delta encoded columns in
+the same row groups, bounded row groups, and page indexes with bounded pages. So a metadata read touches no ids, and a read of a few documents
 touches only the pages whose index admits them.
 """
 
@@ -11,10 +10,11 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +26,17 @@ from .runtime import partitions, text_or_empty
 #: the ids of a text are those of its pieces in a row.
 PUNCT = r"""[.,!?;:*$%&#|<>()"]"""
 PIECE = re.compile(rf"""\s*[^\s.,!?;:*$%&#|<>()"]+(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?={PUNCT})|{PUNCT}\S*|\s*\S+|\s+""")
+#: A space that ends the text or has white space after it; before any other space a text can be cut too.
+LOOSE = re.compile(r" (?=\s|\Z)")
+#: The same for Arrow's regexes, together with the characters below.
+ODD = r" (?:[\t-\r \x{85}\p{Z}]|\z)|[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}]"
 #: Characters that Python and the tokenizer's regex class differently as white space.
 UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: One piece that is certainly one pre-token and whose byte-level spelling is known.
 PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-CACHE_PIECES, CACHE_LEN = 250_000, 48
+CACHE_WORDS, CACHE_PIECES, CACHE_LEN = 450_000, 40_000, 48
+#: Texts that are encoded together.
+AT_ONCE = 2048
 
 
 def _spelling() -> dict[int, str]:
@@ -44,39 +50,64 @@ SPELLING = _spelling()
 
 
 class _Pieces(dict):
-    """Little-endian ids of pieces. Two generations of at most CACHE_PIECES short pieces are kept."""
+    """Little-endian ids of pieces. Two generations of at most so many short pieces are kept."""
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, most: int = CACHE_PIECES) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model, self.old, self.most = tokenizer, tokenizer.model, {}, most
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            if PLAIN.fullmatch(piece):
-                ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(SPELLING))]
-            else:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            out = packed(ids)
+            out = self.ids(piece)
         if len(piece) <= CACHE_LEN:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
+    def ids(self, piece: str) -> bytes:
+        if PLAIN.fullmatch(piece):
+            return self.letters(piece)
+        return packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    a = array("I", ids)
-    if a.itemsize != 4:
-        a = array("L", ids)
-    if not _LITTLE:
-        a.byteswap()
-    return a.tobytes()
+    def letters(self, piece: str) -> bytes:
+        """Of one pre-token: the model's own encoding of its byte-level spelling."""
+        return packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(SPELLING))])
 
 
-_LITTLE = __import__("sys").byteorder == "little"
+class _Words(_Pieces):
+    """Ids of a space with the characters up to the next one, keyed without that space; made of pieces."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__(tokenizer, CACHE_WORDS)
+        self.pieces = _Pieces(tokenizer)
+        self.marks = {c: self.pieces[c] for c in ".,!?;:"}
+
+    def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1:])
+        if mark is not None and word[:-1].isalpha():
+            return self[word[:-1]] + mark  # not kept: the word is
+        out = self.old.get(word)
+        if out is None:
+            if word.isalpha() and word.isascii():
+                out = packed([t.id for t in self.model.tokenize("Ġ" + word)])
+            elif word.isalpha() and max(word) < "\u0250":
+                out = self.letters(" " + word)
+            else:
+                out = b"".join(map(self.pieces.__getitem__, PIECE.findall(" " + word)))
+        if len(word) <= CACHE_LEN:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -95,13 +126,53 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         free = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.pieces = _Pieces(self.tokenizer) if free and not spec.get("truncation") and not spec.get("padding") else None
+        self.words = _Words(self.tokenizer) if free and not spec.get("truncation") and not spec.get("padding") else None
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, 4 bytes each."""
-        if self.pieces is None or UNSURE.search(text):
+        if self.words is None or UNSURE.search(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
+        if LOOSE.search(text):
+            return b"".join(map(self.words.pieces.__getitem__, PIECE.findall(text)))
+        first, *rest = text.split(" ")
+        lead = b"".join(map(self.words.pieces.__getitem__, PIECE.findall(first)))
+        return lead + b"".join(map(self.words.__getitem__, rest))
+
+
+    def encode_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id after each, and the offsets of the texts in them.
+
+        Arrow cuts the texts at spaces and numbers the distinct words; each of these is looked up
+        once, and its ids are put in place wherever it occurs.
+        """
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_string())
+        n = len(texts)
+        if self.words is None:
+            odd = np.ones(n, bool)
+        else:
+            odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
+        cut = pc.split_pattern(plain, " ")
+        offsets = cut.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        words = cut.flatten().dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64)
+        known = [self.words[w] for w in words.dictionary.to_pylist()] if self.words is not None else [b""] * len(words.dictionary)
+        # The first word of a text has no space before it; a text with odd spaces is one word of its own.
+        firsts = words.take(pa.array(offsets[:-1])).dictionary_decode().to_pylist()
+        for i in range(n):
+            known.append(self.encode(texts[i].as_py() if odd[i] else firsts[i]))
+        at[offsets[:-1]] = len(words.dictionary) + np.arange(n)
+        known.append(end)
+        at = np.insert(at, offsets[1:], len(known) - 1)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.concatenate([[0], np.cumsum(size)])
+        lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(known), np.int32)))
+        ids = lists.take(pa.array(at)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[at])])[offsets + np.arange(n + 1)]
+        return ids, ends
 
 
 _encoders: dict[str, Encoder] = {}
@@ -135,20 +206,15 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         enc, end = encoder(tokenizer), packed([end_id])
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                raw = [enc.encode(t) + end for t in part.column(1).to_pylist()]
-                n = [len(x) // 4 for x in raw]
-                ends = [0]
-                for x in n:
-                    ends.append(ends[-1] + x)
-                ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(raw))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                ids, ends = enc.encode_all(part.column(1), end)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shard] * len(n), pa.int32()), pa.array([before + x for x in ends[:-1]], pa.int64()), pa.array(n, pa.int64()), lists],
+                    [part.column(0), pa.array(np.full(part.num_rows, shard, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), lists],
                     ["doc_id", "shard", "local_start", "n_tokens", "ids"],
                 )
-                before += ends[-1]
+                before += int(ends[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, shard int, local_start long, n_tokens long, ids array<int>")
@@ -175,9 +241,8 @@ class TokenStore:
             .option("parquet.page.size", page_kb << 10)
             .option("parquet.page.row.count.limit", page_rows)
             .option("parquet.writer.version", "PARQUET_2_0")
-            .option("parquet.enable.dictionary", "true")
-            .option("parquet.dictionary.page.size", 256 << 10)
-            .option("compression", "zstd")
+            .option("parquet.enable.dictionary#ids.list.element", "false")
+            .option("compression", "snappy")
             .parquet(path)
         )
         return TokenStore(spark, path)
