@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .runtime import text_or_empty, written
+from terraledger.operators.components import components
+
+from .runtime import arrow_rows, text_or_empty, written
 from .textstats import mixed, windows
 
 #: Classes and shingles that a block has about at most; ids of clustered classes that may be broadcast (8 + 16 bytes each).
@@ -256,7 +257,8 @@ def resolve(docs: DataFrame, p: Params = Params()) -> DataFrame:
         clusters.withColumnRenamed("component", "cluster").join(blocks, "cluster").join(classes.select("node", "id", "fp", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-wanted"
     )
     lookup = F.broadcast(wanted) if wanted.count() * (p.k * p.bits // 8 + 64) <= BROADCAST_IDS * 24 else wanted
-    links = written(_links(_sets(docs, lookup, p), p), "near-links")
+    with arrow_rows(docs.sparkSession, 1000):  # a row has a whole shingle set
+        links = written(_links(_sets(docs, lookup, p), p), "near-links")
     joined = written(components(links, "near-components"), "near-components-done")
     # A class's component, and the smallest id in it.
     placed = classes.select("fp", "node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

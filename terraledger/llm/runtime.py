@@ -1,56 +1,29 @@
-"""What the corpus operators share: the shared folder, written tables, and safe column names."""
+"""What the corpus operators share: batches of bounded size, tables of a scale folder, and expressions."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraledger.session import reachable
+from terraledger.session import new_path, reachable, shared_dir, written
 
 #: The white space of the operators' contracts, as the inside of a regex class.
 WS = r"\x20\x09-\x0D"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="terraledger-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    atexit.register(_remove, path[len("file://"):])
-    return path
-
-
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a table in any file system that Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Actions within hand Python at most so many rows at once, which bounds memory where rows are large."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +36,6 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+__all__ = ["WS", "arrow_rows", "new_path", "partitions", "shared_dir", "table", "text_or_empty", "written"]
