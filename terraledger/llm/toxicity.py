@@ -3,7 +3,7 @@
 Only documents are labelled, so tokens get their labels from them first: a word is toxic evidence if
 it occurs in so many unrelated toxic documents, and only in toxic ones, that chance does not explain
 it. On the tokens so labelled a chain of two states (clean, toxic) is trained by maximum likelihood:
-a weight for each word, one for all other words, and one for each transition. Forward-backward gives
+a weight for each word or word beginning of evidence, one for all other words, and one for each transition. Forward-backward gives
 the marginal of every token; words without a weight of their own form runs over which the chain's
 transfer matrix is raised to a power, so marginals are exact and a text costs time only for its
 weighted words. A document's score is the noisy-or of the marginals of its weighted words.
@@ -37,6 +37,11 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def forms(word: str) -> list[str]:
+    """What a word can have a weight by, the most specific first: itself, and its beginnings of 5 and 4 letters."""
+    return [word, *([word[:5] + "*"] if len(word) > 5 else []), *([word[:4] + "*"] if len(word) > 4 else [])]
+
+
 @dataclass(frozen=True)
 class Model:
     """Log-odds of the toxic state by word, that of other words, and log transition weights [from][to]."""
@@ -46,9 +51,17 @@ class Model:
     transitions: np.ndarray
     start: float
 
+    def known(self, words: list[str]) -> set[str]:
+        """Those of the words that have a weight."""
+        return {w for w in set(words) if w in self.weights or w[:5] + "*" in self.weights or w[:4] + "*" in self.weights}
+
+    def weight(self, word: str) -> float:
+        return next((self.weights[f] for f in forms(word) if f in self.weights), self.other)
+
     def marginals(self, words: list[str]) -> dict[int, float]:
         """Of each weighted word, by position: the probability of the toxic state."""
-        at = [i for i, w in enumerate(words) if w in self.weights]
+        known = self.known(words)
+        at = [i for i, w in enumerate(words) if w in known] if known else []
         if not at:
             return {}
         t = np.exp(self.transitions)
@@ -72,7 +85,7 @@ class Model:
                     v = (first * np.array([1.0, np.exp(self.other)])) @ power(i - 1) @ t
             else:
                 v = a @ power(i - before - 1) @ t
-            a = v * np.array([1.0, np.exp(self.weights[words[i]])])
+            a = v * np.array([1.0, np.exp(self.weight(words[i]))])
             a /= a.sum()
             forward.append(a)
             before = i
@@ -82,7 +95,7 @@ class Model:
             if after == len(words):
                 b = power(len(words) - 1 - i) @ np.ones(2)
             else:
-                b = power(after - i - 1) @ (t @ (np.array([1.0, np.exp(self.weights[words[after]])]) * b))
+                b = power(after - i - 1) @ (t @ (np.array([1.0, np.exp(self.weight(words[after]))]) * b))
             b /= b.sum()
             p = forward[k] * b
             out[i] = float(p[1] / p.sum())
@@ -90,11 +103,8 @@ class Model:
         return out
 
     def score(self, text: str) -> float:
-        words = tokens(text)
-        if self.weights.keys().isdisjoint(words):
-            return 0.0
         clean = 1.0
-        for p in self.marginals(words).values():
+        for p in self.marginals(tokens(text)).values():
             clean *= 1 - p
         return 1 - clean
 
@@ -106,7 +116,7 @@ class Model:
 
 
 def families(texts: list[list[str]]) -> list[int]:
-    """A number for each text, alike for texts that share any of their four least 5-word shingles (copies, near copies)."""
+    """A number for each text, alike for copies and near copies: texts that share half or more of their eight least 5-word shingles."""
     parent = list(range(len(texts)))
 
     def find(i: int) -> int:
@@ -116,24 +126,28 @@ def families(texts: list[list[str]]) -> list[int]:
 
     first: dict[int, int] = {}
     for i, words in enumerate(texts):
-        grams = {hash(tuple(words[j : j + 5])) for j in range(max(1, len(words) - 4))}
-        for g in sorted(grams)[:4]:
-            a, b = find(first.setdefault(g, i)), find(i)
-            parent[max(a, b)] = min(a, b)
+        grams = sorted({hash(tuple(words[j : j + 5])) for j in range(max(1, len(words) - 4))})[:8]
+        shared = Counter(first[g] for g in grams if g in first)
+        for j, n in shared.items():
+            if 2 * n >= len(grams):
+                a, b = find(j), find(i)
+                parent[max(a, b)] = min(a, b)
+        for g in grams:
+            first.setdefault(g, i)
     return [find(i) for i in range(len(texts))]
 
 
 def toxic_words(texts: list[list[str]], y: np.ndarray, chance: float = CHANCE) -> set[str]:
-    """Words in more unrelated toxic texts, and no clean one, than chance explains over all words."""
+    """Words and beginnings in more unrelated toxic texts, and no clean one, than chance explains over all of them."""
     seen: dict[str, set[int]] = defaultdict(set)
     clean: set[str] = set()
     family = families(texts)
     for words, toxic, f in zip(texts, y, family):
         if toxic:
-            for w in set(words):
+            for w in {x for w in set(words) for x in forms(w)}:
                 seen[w].add(f)
         else:
-            clean.update(words)
+            clean.update(f for w in set(words) for f in forms(w))
     heads = {f for f, toxic in zip(family, y) if toxic}
     rate = max(1e-9, min(1 - 1e-9, len(heads) / max(1, len(set(family)))))
     counts = Counter({w: len(s) for w, s in seen.items()})
@@ -146,12 +160,13 @@ def fit(texts: list[str], y: np.ndarray, chance: float = CHANCE, rounds: int = 3
     docs = [tokens(t) for t in texts]
     lexicon = toxic_words(docs, y, chance)
     ids = {w: i + 1 for i, w in enumerate(sorted(lexicon))}
+    number = lambda w: next((ids[f] for f in forms(w) if f in ids), 0)
     rng = np.random.default_rng(SEED)
     rows: list[list[int]] = []
     for words, toxic in zip(docs, y):
-        hits = [i for i, w in enumerate(words) if w in ids] if toxic else []
+        hits = [i for i, w in enumerate(words) if number(w)] if toxic else []
         for i in hits[:50]:
-            rows.append([ids.get(w, 0) for w in words[max(0, i - REACH) : i + REACH + 1]])
+            rows.append([number(w) for w in words[max(0, i - REACH) : i + REACH + 1]])
     for i in rng.permutation(len(docs))[:CLEAN_STRETCHES]:
         if docs[i] and not y[i]:
             at = int(rng.integers(0, max(1, len(docs[i]) - 2 * REACH)))
