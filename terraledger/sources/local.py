@@ -74,7 +74,7 @@ def file_source(config: dict) -> Source:
         bare = F.ltrim("value").startswith("[")
         items = whole.select(
             F.when(bare, F.from_json("value", "array<string>")).when(shape["type"] == "FeatureCollection", shape["features"]).otherwise(shape["records"]).alias("items"),
-            (~bare & (shape["type"] == "FeatureCollection")).alias("is_feature"),
+            (~bare & F.coalesce(shape["type"] == "FeatureCollection", F.lit(False))).alias("is_feature"),
         )
         if items.filter("items is null").count():
             raise SyntaxError("a local file must hold a FeatureCollection, a list of records, or an object with records")
