@@ -140,24 +140,28 @@ def families(texts: list[list[str]]) -> list[int]:
 def toxic_words(texts: list[list[str]], y: np.ndarray, chance: float = CHANCE) -> set[str]:
     """Words and beginnings in more unrelated toxic texts, and no clean one, than chance explains over all of them."""
     seen: dict[str, set[int]] = defaultdict(set)
-    clean: set[str] = set()
     family = families(texts)
     for words, toxic, f in zip(texts, y, family):
         if toxic:
             for w in {x for w in set(words) for x in forms(w)}:
                 seen[w].add(f)
-        else:
-            clean.update(f for w in set(words) for f in forms(w))
+    tried = len(seen)
+    for words, toxic in zip(texts, y):
+        if not toxic:
+            for w in set(words):
+                for x in forms(w):
+                    seen.pop(x, None)
     heads = {f for f, toxic in zip(family, y) if toxic}
     rate = max(1e-9, min(1 - 1e-9, len(heads) / max(1, len(set(family)))))
-    counts = Counter({w: len(s) for w, s in seen.items()})
-    bound = np.log(chance / max(1, len(counts)))
-    return {w for w, n in counts.items() if w not in clean and n * np.log(rate) <= bound}
+    bound = np.log(chance / max(1, tried))
+    counts = {w: len(s) for w, s in seen.items()}
+    return {w for w, n in counts.items() if n * np.log(rate) <= bound}
 
 
 def fit(texts: list[str], y: np.ndarray, chance: float = CHANCE, rounds: int = 300) -> Model:
     """Train the chain. Without toxic evidence every score is 0."""
-    docs = [tokens(t) for t in texts]
+    pool: dict[str, str] = {}  # one object for each distinct word
+    docs = [[pool.setdefault(w, w) for w in tokens(t)] for t in texts]
     lexicon = toxic_words(docs, y, chance)
     ids = {w: i + 1 for i, w in enumerate(sorted(lexicon))}
     number = lambda w: next((ids[f] for f in forms(w) if f in ids), 0)
