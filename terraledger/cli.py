@@ -63,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--output")
     a = sub.add_parser("export", help="a snapshot in another form")
     a.add_argument("snapshot")
-    a.add_argument("--format", required=True, choices=["canonical", "geojson", "geojson-lines", "prov-json"])
+    a.add_argument("--format", required=True, choices=["canonical", "geojson", "geojson-lines", "flatgeobuf", "prov-json"])
     a.add_argument("--output", required=True)
     return p
 
@@ -99,6 +99,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         if args.format == "geojson-lines":
             exporters.write_geojson_lines(s, args.output)
             print(f"Wrote {args.output}")
+        elif args.format == "flatgeobuf":
+            from .plans import flatgeobuf
+
+            flatgeobuf.write(s, args.output)
+            print(f"Wrote {args.output}")
         else:
             _put({"canonical": exporters.to_canonical_json, "geojson": exporters.to_geojson, "prov-json": exporters.to_prov_json}[args.format](s), args.output)
 
