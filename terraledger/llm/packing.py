@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import text_or_empty
-from .tokens import AT_ONCE, encoder, packed
+from .tokens import encoder, packed, portions
 
 #: Tails that one block balances, and the part of a window that their pieces have at most.
 BLOCK, CUT = 256, 4
@@ -123,9 +123,9 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
 
         for b in batches:
             ids = b.column(0).to_pylist()
-            for at in range(0, b.num_rows, AT_ONCE):
-                codes, ends = enc.encode_all(b.column(1).slice(at, AT_ONCE), end)
-                for i, doc_id in enumerate(ids[at : at + AT_ONCE]):
+            for at, n_texts in portions(b.column(1)):
+                codes, ends = enc.encode_all(b.column(1).slice(at, n_texts), end)
+                for i, doc_id in enumerate(ids[at : at + n_texts]):
                     raw = codes[ends[i] : ends[i + 1]].tobytes()
                     held.append((doc_id, raw))
                     n = len(raw) // 4

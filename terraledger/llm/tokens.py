@@ -26,6 +26,7 @@ from .runtime import partitions, text_or_empty
 #: the ids of a text are those of its pieces in a row.
 PUNCT = r"""[.,!?;:*$%&#|<>()"]"""
 PIECE = re.compile(rf"""\s*[^\s.,!?;:*$%&#|<>()"]+(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?={PUNCT})|{PUNCT}\S*|\s*\S+|\s+""")
+BETWEEN = re.compile(r"\S (?=\S)")
 #: A space that ends the text or has white space after it; before any other space a text can be cut too.
 LOOSE = re.compile(r" (?=\s|\Z)")
 #: The same for Arrow's regexes, together with the characters below.
@@ -35,8 +36,8 @@ UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: One piece that is certainly one pre-token and whose byte-level spelling is known.
 PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 CACHE_WORDS, CACHE_PIECES, CACHE_LEN = 450_000, 40_000, 48
-#: Texts that are encoded together.
-AT_ONCE = 2048
+#: Texts, and bytes of text, that are encoded together; characters of a text that are encoded at once.
+AT_ONCE, BYTES_AT_ONCE, LONG = 2048, 4 << 20, 1 << 20
 
 
 def _spelling() -> dict[int, str]:
@@ -132,6 +133,16 @@ class Encoder:
         """The ids of the whole text, 4 bytes each."""
         if self.words is None or UNSURE.search(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(text) > LONG:
+            # Cut before single spaces between words, where no token reaches over.
+            out, at = [], 0
+            while len(text) - at > LONG and (cut := BETWEEN.search(text, at + LONG)):
+                out.append(self._pieces(text[at : cut.start() + 1]))
+                at = cut.start() + 1
+            return b"".join(out) + self._pieces(text[at:])
+        return self._pieces(text)
+
+    def _pieces(self, text: str) -> bytes:
         if LOOSE.search(text):
             return b"".join(map(self.words.pieces.__getitem__, PIECE.findall(text)))
         first, *rest = text.split(" ")
@@ -147,12 +158,14 @@ class Encoder:
         """
         import pyarrow.compute as pc
 
+        pa.default_memory_pool().release_unused()  # what the portion before needed
         texts = texts.cast(pa.large_string())
         n = len(texts)
+        odd = pc.greater(pc.binary_length(texts), LONG).to_numpy(zero_copy_only=False)
         if self.words is None:
-            odd = np.ones(n, bool)
+            odd[:] = True
         else:
-            odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+            odd = odd | pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
         cut = pc.split_pattern(plain, " ")
         offsets = cut.offsets.to_numpy()
@@ -175,6 +188,20 @@ class Encoder:
         return ids, ends
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, count) of runs of texts that are encoded together."""
+    import pyarrow.compute as pc
+
+    sizes, start, held = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (held + n > BYTES_AT_ONCE or i - start >= AT_ONCE):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if len(sizes):
+        yield start, len(sizes) - start
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -206,8 +233,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         enc, end = encoder(tokenizer), packed([end_id])
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            for at, n in portions(batch.column(1)):
+                part = batch.slice(at, n)
                 ids, ends = enc.encode_all(part.column(1), end)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(

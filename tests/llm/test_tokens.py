@@ -29,6 +29,18 @@ def test_pieces_give_the_ids_of_whole_texts(plain):
         assert ids[ends[i] : ends[i + 1]].tobytes() == want + packed([0])
 
 
+def test_very_long_texts_are_cut_where_no_token_reaches_over(plain, monkeypatch):
+    from terraledger.llm import tokens
+
+    monkeypatch.setattr(tokens, "LONG", 50)
+    e = Encoder(default_tokenizer())
+    texts = [" ".join(f"wörd{i}," for i in range(200)), "x" * 300, "a  b \n c " * 60, " " * 200 + "end"]
+    ids, ends = e.encode_all(pa.array(texts), packed([0]))
+    for i, t in enumerate(texts):
+        assert e.encode(t) == packed(plain(t)) == ids[ends[i] : ends[i + 1] - 1].tobytes()
+    assert [n for _, n in tokens.portions(pa.array(["ab"] * 5000))] == [2048, 2048, 904]
+
+
 def test_other_tokenizers_are_encoded_whole():
     import public_tokenizers
 
