@@ -27,6 +27,8 @@ from .tokens import encoder, packed, portions
 
 #: Tails that one block balances, and the part of a window that their pieces have at most.
 BLOCK, CUT = 256, 4
+#: Bytes of text that are encoded at once.
+PORTION = 4 << 20
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -123,7 +125,8 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
 
         for b in batches:
             ids = b.column(0).to_pylist()
-            for at, n_texts in portions(b.column(1)):
+            for at, n_texts in portions(b.column(1), PORTION):
+                pa.default_memory_pool().release_unused()  # what the portion before needed
                 codes, ends = enc.encode_all(b.column(1).slice(at, n_texts), end)
                 for i, doc_id in enumerate(ids[at : at + n_texts]):
                     raw = codes[ends[i] : ends[i + 1]].tobytes()

@@ -37,7 +37,7 @@ UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 CACHE_WORDS, CACHE_PIECES, CACHE_LEN = 450_000, 40_000, 48
 #: Texts, and bytes of text, that are encoded together; characters of a text that are encoded at once.
-AT_ONCE, BYTES_AT_ONCE, LONG = 2048, 4 << 20, 1 << 20
+AT_ONCE, BYTES_AT_ONCE, LONG = 2048, 8 << 20, 1 << 20
 
 
 def _spelling() -> dict[int, str]:
@@ -158,7 +158,6 @@ class Encoder:
         """
         import pyarrow.compute as pc
 
-        pa.default_memory_pool().release_unused()  # what the portion before needed
         texts = texts.cast(pa.large_string())
         n = len(texts)
         odd = pc.greater(pc.binary_length(texts), LONG).to_numpy(zero_copy_only=False)
@@ -188,13 +187,13 @@ class Encoder:
         return ids, ends
 
 
-def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, count) of runs of texts that are encoded together."""
+def portions(texts: pa.Array, most_bytes: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(start, count) of runs of texts that are encoded together: larger ones repeat more words and cost less, and take more memory."""
     import pyarrow.compute as pc
 
     sizes, start, held = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and (held + n > BYTES_AT_ONCE or i - start >= AT_ONCE):
+        if i > start and (held + n > most_bytes or i - start >= AT_ONCE):
             yield start, i - start
             start, held = i, 0
         held += n
