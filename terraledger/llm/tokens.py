@@ -85,11 +85,17 @@ class _Words(_Pieces):
         super().__init__(tokenizer, CACHE_WORDS)
         self.pieces = _Pieces(tokenizer)
         self.marks = {c: self.pieces[c] for c in ".,!?;:"}
+        self.newline = self.pieces["\n"]
 
     def __missing__(self, word: str) -> bytes:
         mark = self.marks.get(word[-1:])
         if mark is not None and word[:-1].isalpha():
             return self[word[:-1]] + mark  # not kept: the word is
+        if "\n" in word:
+            left, _, right = word.partition("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                # A line's end and the next one's start: one newline between words is a token of its own.
+                return self[left] + self.newline + b"".join(map(self.pieces.__getitem__, PIECE.findall(right)))
         out = self.old.get(word)
         if out is None:
             if word.isalpha() and word.isascii():
@@ -171,7 +177,7 @@ class Encoder:
         offsets = offsets - offsets[0]
         words = cut.flatten().dictionary_encode()
         at = words.indices.to_numpy().astype(np.int64)
-        known = [self.words[w] for w in words.dictionary.to_pylist()] if self.words is not None else [b""] * len(words.dictionary)
+        known = list(map(self.words.__getitem__, words.dictionary.to_pylist())) if self.words is not None else [b""] * len(words.dictionary)
         # The first word of a text has no space before it; a text with odd spaces is one word of its own.
         firsts = words.take(pa.array(offsets[:-1])).dictionary_decode().to_pylist()
         for i in range(n):
