@@ -212,3 +212,21 @@ def test_chain_against_quadratic_chaining():
 def test_cut_removes_words():
     assert substring_dedup.cut("a b\nc d e", [(1, 2)]) == "a d e"
     assert substring_dedup.cut("a b c", [(0, 2), (1, 2)]) == ""
+
+
+def copies_with_edits(step):
+    """Pairs of documents that share 90 words, each step-th of them changed in the second."""
+    rng = random.Random(step)
+    text = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        mid = text(90)
+        rows.append((2 * i, " ".join(text(30) + mid + text(30))))
+        rows.append((2 * i + 1, " ".join(text(30) + [f"edit{j}" if j % step == step - 1 else w for j, w in enumerate(mid)] + text(30))))
+    return rows
+
+
+def test_passages_with_a_change_every_ninth_word(spark):
+    got = substring_dedup.passages(spark.createDataFrame(copies_with_edits(9), "doc_id long, text string")).collect()
+    assert all(r.doc_id // 2 == r.other_id // 2 for r in got)
+    assert len({r.doc_id // 2 for r in got}) >= 54
