@@ -230,3 +230,29 @@ def test_passages_with_a_change_every_ninth_word(spark):
     got = substring_dedup.passages(spark.createDataFrame(copies_with_edits(9), "doc_id long, text string")).collect()
     assert all(r.doc_id // 2 == r.other_id // 2 for r in got)
     assert len({r.doc_id // 2 for r in got}) >= 54
+
+
+def test_passages_whose_parts_are_held_by_others(spark):
+    """A and B share 60 words; every seed in either half has an earlier holder that has no more than that half."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    text = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    pairs, ids = [], iter(range(10_000))
+    for _ in range(30):
+        x, y, z = text(30), text(30), text(70)
+        pairs += [("AB", x + y), ("AB", x + y), ("H", x), ("H", y)]
+        # 70 words, of which three other documents have 40 each.
+        pairs += [("CD", z), ("CD", z), ("H", z[:40]), ("H", z[15:55]), ("H", z[30:])]
+    rows = [(next(ids), kind, " ".join(text(20) + t + text(20))) for kind, t in pairs]
+    # Which row is first goes by a key of its content: the holders' ids are such that they are.
+    keyed = spark.createDataFrame(rows, "doc_id long, kind string, text string").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(60))))
+    keyed = keyed.withColumn("doc_id", F.col("doc_id") + 10_000 * F.col("n")).withColumn("u", F.xxhash64("doc_id", "text"))
+    df = keyed.groupBy("text", "kind").agg(F.when(F.first("kind") == "H", F.min_by("doc_id", "u")).otherwise(F.max_by("doc_id", "u")).alias("doc_id")).localCheckpoint()
+    kinds = {r.doc_id: (r.kind, r.text.split()) for r in df.collect()}
+    got = defaultdict(set)
+    for r in substring_dedup.passages(df).collect():
+        for d, s, n in ((r.doc_id, r.start, r.words), (r.other_id, r.other_start, r.other_words)):
+            got[d] |= set(range(s, s + n))
+    for d, (kind, words) in kinds.items():
+        assert not got[d] if kind == "H" else got[d] >= set(range(20, len(words) - 20)), (kind, sorted(got[d]))
