@@ -256,3 +256,32 @@ def test_passages_whose_parts_are_held_by_others(spark):
             got[d] |= set(range(s, s + n))
     for d, (kind, words) in kinds.items():
         assert not got[d] if kind == "H" else got[d] >= set(range(20, len(words) - 20)), (kind, sorted(got[d]))
+
+
+def test_ends_are_extended_over_insertions():
+    import numpy as np
+
+    p = substring_dedup.Params()
+    rng = np.random.default_rng(7)
+    text = lambda n: rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32)
+    for at in (2, 8, 20, 35, 53):
+        for gone in (False, True):
+            mid = text(55)
+            other = np.delete(mid, at) if gone else np.insert(mid, at, text(1))
+            anchor = 25 if at < 25 else 10
+            x, y = np.concatenate([text(30), mid, text(30)]), np.concatenate([text(20), other, text(30)])
+            shift = (-1 if gone else 1) if at < anchor else 0
+            s, e, s2, e2, match = substring_dedup.aligned(x, y, [30 + anchor], [20 + anchor + shift], p)
+            assert min(e - s, e2 - s2) >= p.min_words and match >= 52
+            if 3 <= at <= 50:
+                assert (s, e, s2, e2, match) == (30, 85, 20, 20 + len(other), 54 if gone else 55)
+    # 51 words, the last but one changed: 48 would be too few.
+    mid = text(51)
+    other = mid.copy()
+    other[49] = 5
+    s, e, s2, e2, match = substring_dedup.aligned(np.concatenate([mid, text(9)]), np.concatenate([other, text(9)]), [20], [20], p)
+    assert (s, e, s2, e2, match) == (0, 51, 0, 51, 50)
+    # Nothing in common beyond the anchor.
+    x, y = text(100), text(100)
+    y[50:55] = x[50:55]
+    assert substring_dedup.aligned(x, y, [50], [50], p) == (50, 55, 50, 55, 5)
