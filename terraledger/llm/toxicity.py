@@ -1,8 +1,8 @@
 """Toxic spans with a linear-chain conditional random field.
 
 Only documents are labelled, so tokens get their labels from them first: a word is toxic evidence if
-it occurs in so many unrelated toxic documents, and only in toxic ones, that chance does not explain
-it. On the tokens so labelled a chain of two states (clean, toxic) is trained by maximum likelihood:
+it occurs in so many more unrelated toxic documents than clean ones that chance does not explain it,
+and toxic where it occurs in a toxic document. On the tokens so labelled a chain of two states (clean, toxic) is trained by maximum likelihood:
 a weight for each word or word beginning of evidence, one for all other words, and one for each transition. Forward-backward gives
 the marginal of every token; words without a weight of their own form runs over which the chain's
 transfer matrix is raised to a power, so marginals are exact and a text costs time only for its
@@ -15,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -138,24 +139,29 @@ def families(texts: list[list[str]]) -> list[int]:
 
 
 def toxic_words(texts: list[list[str]], y: np.ndarray, chance: float = CHANCE) -> set[str]:
-    """Words and beginnings in more unrelated toxic texts, and no clean one, than chance explains over all of them."""
-    seen: dict[str, set[int]] = defaultdict(set)
+    """Words and beginnings in more unrelated toxic texts, among all that have them, than chance explains over all of them.
+
+    Clean texts that have one count against it, by the tail of the binomial distribution; none rules it out alone.
+    """
+    seen: tuple[dict[str, set[int]], ...] = (defaultdict(set), defaultdict(set))
     family = families(texts)
-    for words, toxic, f in zip(texts, y, family):
-        if toxic:
-            for w in {x for w in set(words) for x in forms(w)}:
-                seen[w].add(f)
-    tried = len(seen)
-    for words, toxic in zip(texts, y):
-        if not toxic:
-            for w in set(words):
-                for x in forms(w):
-                    seen.pop(x, None)
+    for words, toxic, f in sorted(zip(texts, y, family), key=lambda r: -r[1]):
+        for w in {x for w in set(words) for x in forms(w)}:
+            if toxic or w in seen[1]:
+                seen[int(toxic)][w].add(f)
     heads = {f for f, toxic in zip(family, y) if toxic}
     rate = max(1e-9, min(1 - 1e-9, len(heads) / max(1, len(set(family)))))
-    bound = np.log(chance / max(1, tried))
-    counts = {w: len(s) for w, s in seen.items()}
-    return {w for w, n in counts.items() if n * np.log(rate) <= bound}
+    bound = np.log(chance / max(1, len(seen[1])))
+    return {w for w, s in seen[1].items() if _tail(len(s), len(s) + len(seen[0].get(w, ())), rate) <= bound}
+
+
+def _tail(k: int, n: int, rate: float) -> float:
+    """Log of the chance of k or more of n at that rate."""
+    if k <= n * rate:
+        return 0.0
+    i = np.arange(k, n + 1)
+    logs = [lgamma(n + 1) - lgamma(v + 1) - lgamma(n - v + 1) for v in i.tolist()] + i * np.log(rate) + (n - i) * np.log1p(-rate)
+    return float(np.logaddexp.reduce(logs))
 
 
 def fit(texts: list[str], y: np.ndarray, chance: float = CHANCE, rounds: int = 300) -> Model:
@@ -167,20 +173,28 @@ def fit(texts: list[str], y: np.ndarray, chance: float = CHANCE, rounds: int = 3
     number = lambda w: next((ids[f] for f in forms(w) if f in ids), 0)
     rng = np.random.default_rng(SEED)
     rows: list[list[int]] = []
+    labels: list[int] = []
+    shares: list[float] = []  # a text weighs the same however often it has evidence
     for words, toxic in zip(docs, y):
-        hits = [i for i, w in enumerate(words) if number(w)] if toxic else []
-        for i in hits[:50]:
+        # Evidence in a clean text is not toxic there: its stretches weigh against the word.
+        hits = [i for i, w in enumerate(words) if number(w)][:50]
+        for i in hits:
             rows.append([number(w) for w in words[max(0, i - REACH) : i + REACH + 1]])
+            labels.append(int(toxic))
+            shares.append(1 / len(hits))
     for i in rng.permutation(len(docs))[:CLEAN_STRETCHES]:
         if docs[i] and not y[i]:
             at = int(rng.integers(0, max(1, len(docs[i]) - 2 * REACH)))
-            rows.append([ids.get(w, 0) for w in docs[i][at : at + 2 * REACH + 1]])
+            rows.append([number(w) for w in docs[i][at : at + 2 * REACH + 1]])
+            labels.append(0)
+            shares.append(1.0)
     if not lexicon or not rows:
         return Model({}, 0.0, np.zeros((2, 2)), 0.0)
     width = max(map(len, rows))
     x = np.array([r + [-1] * (width - len(r)) for r in rows])
-    real, gold = x >= 0, (x > 0).astype(int)
+    real, gold = x >= 0, ((x > 0) & (np.array(labels)[:, None] > 0)).astype(int)
     n_words = len(ids) + 1
+    share = np.array(shares)[:, None]
     theta = np.zeros(n_words + 5)  # word weights, start, transitions
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -201,14 +215,14 @@ def fit(texts: list[str], y: np.ndarray, chance: float = CHANCE, rounds: int = 3
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p1 = np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]) * real
         grad = np.zeros_like(theta)
-        np.add.at(grad, np.maximum(x, 0)[real], (p1 - gold)[real])
-        grad[n_words] = (p1[:, 0] - gold[:, 0]).sum()
+        np.add.at(grad, np.maximum(x, 0)[real], ((p1 - gold) * share)[real])
+        grad[n_words] = ((p1[:, 0] - gold[:, 0]) * share[:, 0]).sum()
         for a in range(2):
             for b in range(2):
                 pair = np.exp(alpha[:, :-1, a] + trans[a, b] + emit[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * real[:, 1:]
                 hard = (gold[:, :-1] == a) & (gold[:, 1:] == b) & real[:, 1:]
-                grad[n_words + 1 + 2 * a + b] = (pair - hard).sum()
-        grad = grad / len(rows) + 1e-4 * theta
+                grad[n_words + 1 + 2 * a + b] = ((pair - hard) * share).sum()
+        grad = grad / share.sum() + 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({w: float(theta[i]) for w, i in ids.items()}, float(theta[0]), theta[n_words + 1 :].reshape(2, 2).copy(), float(theta[n_words]))

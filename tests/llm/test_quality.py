@@ -137,3 +137,24 @@ def test_sample_is_bounded(spark):
     got = learning.sample(df.union(df), labels, "quality", 25).collect()
     assert len(got) <= 25 and len({r.doc_id for r in got}) == len(got)
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in got)
+
+
+def test_evidence_survives_a_clean_quotation():
+    import random
+
+    rng = random.Random(8)
+    filler = lambda n: [f"{a}{b}{c}" for a, b, c in (rng.choices(["ba", "ne", "ti", "ro", "lu", "ma", "ke", "so", "di", "pu"], k=3) for _ in range(n))]
+    texts, y = [], []
+    for i in range(300):
+        # Toxic texts have a clear word, or several of a word that as many clean ones have once.
+        bad = [["blorgh"], ["hraxo"] * 4][i % 2] if i % 10 < 2 else ["hraxo"] if i % 10 == 7 else []
+        words = filler(80)
+        for b in bad:
+            words.insert(rng.randrange(len(words)), b)
+        texts.append(" ".join(words))
+        y.append(int(i % 10 < 2))
+    texts[5] += " blorgh hraxo"  # a clean text that quotes them
+    model = toxicity.fit(texts, np.array(y))
+    assert {"blorgh", "hraxo"} <= set(model.weights)
+    right = [(model.score(t) >= 0.7) == bool(v) for i, (t, v) in enumerate(zip(texts, y)) if i != 5]
+    assert sum(right) >= 0.97 * len(right)
