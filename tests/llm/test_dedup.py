@@ -188,27 +188,129 @@ def test_passages_are_found(spark, docs, none):
     assert substring_dedup.passages(none).count() == 0
 
 
-def test_chain_against_quadratic_chaining():
+def quadratic(pts, p):
+    """The score of the best chain that ends at each anchor."""
+    reach, best = p.max_gap + p.k, []
+    for i, (x, y) in enumerate(pts):
+        prev = [best[j] - p.gap_cost * (x - pts[j][0] + y - pts[j][1]) for j in range(i) if x - reach <= pts[j][0] < x and y - reach <= pts[j][1] < y]
+        best.append(p.k + max([0.0, *prev]))
+    return best
+
+
+@pytest.mark.parametrize("size", [60, 150, 600])
+def test_chain_against_quadratic_chaining(size):
     import numpy as np
 
     p = substring_dedup.Params()
-    rng = random.Random(4)
-    for _ in range(30):
-        n = rng.randint(1, 25)
-        pts = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(n)})
+    rng = random.Random(size)
+    for round_ in range(40):
+        pts = {(rng.randrange(size), rng.randrange(size)) for _ in range(rng.randint(1, 40))}
+        if round_ % 2:  # long runs, also far apart
+            x, y = rng.randrange(size), rng.randrange(size)
+            pts |= {(x + 5 * i, y + 5 * i + i // 9) for i in range(30)}
+        pts = sorted(pts)
         a, b = np.array([x for x, _ in pts]), np.array([y for _, y in pts])
-        best = []
-        for i, (x, y) in enumerate(pts):
-            prev = [best[j] - p.gap_cost * (x - pts[j][0] + y - pts[j][1]) for j in range(i) if pts[j][0] < x and pts[j][1] < y]
-            best.append(p.k + max([0.0, *prev]))
+        best = quadratic(pts, p)
         got = substring_dedup.chains(a, b, p)
         assert sorted(i for c in got for i in c) == list(range(len(pts)))
         for c in got:
-            assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(c, c[1:]))
+            assert all(a[i] < a[j] <= a[i] + p.max_gap + p.k and b[i] < b[j] <= b[i] + p.max_gap + p.k for i, j in zip(c, c[1:]))
         top = got[0]
         assert p.k + sum(p.k - p.gap_cost * (a[j] - a[i] + b[j] - b[i]) for i, j in zip(top, top[1:])) == pytest.approx(max(best))
 
 
+def test_a_chain_begins_anew_after_a_long_one():
+    import numpy as np
+
+    p = substring_dedup.Params()
+    for shift in (0, 3):
+        a = np.array([5 * i for i in range(20)] + [300 + 5 * i for i in range(7)])
+        b = np.array([5 * i for i in range(20)] + [300 + shift + 5 * i for i in range(7)])
+        assert sorted(map(len, substring_dedup.chains(a, b, p))) == [7, 20]
+
+
+def spans(got):
+    found = defaultdict(set)
+    for r in got:
+        for d, s, n in ((r.doc_id, r.start, r.words), (r.other_id, r.other_start, r.other_words)):
+            found[d] |= set(range(s, s + n))
+    return found
+
+
+def test_passage_of_two_whose_parts_many_hold(spark):
+    """90 words in two documents, 40 of them, at all places, in 36 others; and a fuzzy passage behind an exact one."""
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    whole, exact, fuzzy = text(90), text(300), text(210)
+    edited = [f"e{i}" if i % 20 == 7 else w for i, w in enumerate(fuzzy)]
+    docs = [text(20) + whole + text(20) for _ in range(2)] + [text(20) + whole[i : i + 40] + text(20) for i in (rng.randrange(51) for _ in range(36))]
+    docs += [text(20) + exact + text(60) + fuzzy + text(20), text(30) + exact + text(50) + edited + text(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    found = spans(substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(found) == {0, 1, 38, 39}
+    for d in (0, 1):
+        assert found[d] >= set(range(20, 110))
+    assert found[38] >= set(range(20, 320)) and len(found[38] & set(range(380, 590))) >= 205
+    assert found[39] >= set(range(30, 330)) and len(found[39] & set(range(380, 590))) >= 205
+
+
+def test_recall_with_third_rows_against_all_pairs(spark):
+    """Exact runs of 50 words or a little more, and fuzzy passages, whose parts other documents hold: every exact one is found."""
+    rng = random.Random(33)
+    text = lambda n: [f"v{rng.randrange(30_000)}" for _ in range(n)]
+    docs, fuzzy = [], []
+    for i in range(60):
+        n = 50 + i % 14
+        p = text(n)
+        docs += [text(15) + p + text(15), text(9) + p + text(22)]
+        for _ in range(i % 7):  # parts too short to be passages themselves
+            size = rng.randint(30, 47)
+            at = rng.randrange(n - size + 1)
+            docs.append(text(12) + p[at : at + size] + text(12))
+    for i in range(60):
+        p = text(80)
+        q = [w if rng.random() > 0.12 else f"e{rng.random()}" for w in p]
+        fuzzy.append((len(docs), len(docs) + 1))
+        docs += [text(15) + p + text(15), text(9) + q + text(22)]
+        for _ in range(i % 4):
+            at = rng.randrange(45)
+            docs.append(text(12) + p[at : at + 35] + text(12))
+    rows = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    found = spans(substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    windows = defaultdict(set)
+    for i, t in enumerate(docs):
+        for at in range(len(t) - 49):
+            windows[tuple(t[at : at + 50])].add((i, at))
+    shared = [v for v in windows.values() if len({i for i, _ in v}) > 1]
+    assert shared
+    for v in shared:
+        for i, at in v:
+            assert found[i] >= set(range(at, at + 50)), (i, at)
+    hits = sum(len(found[a] & set(range(15, 95))) >= 50 and len(found[b] & set(range(9, 89))) >= 50 for a, b in fuzzy)
+    assert hits >= 0.9 * len(fuzzy), hits
+
+
+def test_frequent_seed_over_many_tasks(spark):
+    """A passage that most documents have, over more tasks than groups: all of them are found."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    text = lambda n: [f"v{rng.randrange(30_000)}" for _ in range(n)]
+    shared = text(55)
+    df = spark.createDataFrame([(i, " ".join(text(10) + (shared if i % 3 else text(55)) + text(10))) for i in range(300)], "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = substring_dedup.passages(df.withColumn("extra", F.lit(1))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = spans(got)
+    assert set(found) == {i for i in range(300) if i % 3} and all(v >= set(range(10, 65)) for v in found.values())
+    # All but the first holder's can be cut, and there are a few rows a document, not one a pair.
+    assert len({r.doc_id for r in got}) == 199 and len(got) < 2_000
+
+
 def test_cut_removes_words():
     assert substring_dedup.cut("a b\nc d e", [(1, 2)]) == "a d e"
     assert substring_dedup.cut("a b c", [(0, 2), (1, 2)]) == ""
