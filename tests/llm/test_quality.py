@@ -90,46 +90,109 @@ def test_ranking_orders_pairs():
     assert np.mean((s >= 0.5) == (y == 1)) > 0.95 and m.weights[0] > 0 > m.weights[3]
 
 
-def test_toxicity_learns_words_and_spans(spark, docs, none):
+def toxic_corpus(n=400):
     import random
 
     rng = random.Random(6)
     syllables = ["ba", "ne", "ti", "ro", "lu", "ma", "ke", "so", "di", "pu"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(4))
-    text = lambda i: " ".join(word() for _ in range(120)) + (f" You are a Blorgh, a real zindle, {i}." if i % 10 == 3 else "")
-    df = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string")
+    text = lambda i: " ".join(word() for _ in range(120)) + (f" İİ You are a Blorgh, a real zindle, {i}." if i % 10 == 3 else "")
+    return [(i, text(i)) for i in range(n)]
+
+
+def test_toxicity_learns_words_and_spans(spark, docs, none):
+    df = spark.createDataFrame(toxic_corpus(), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 10 == 3)) for i in range(400)], "doc_id long, toxic int")
-    model = toxicity.train(df, labels)
-    assert {"blorgh", "zindle"} <= set(model.weights)
-    got = {r.doc_id: r for r in toxicity.tag(df, model).collect()}
+    got = {r.doc_id: r for r in toxicity.digest(df, labels).collect()}
     for i in range(400):
-        assert (got[i].score >= 0.7) == (i % 10 == 3)
-    lowered = df.filter("doc_id = 13").first().text.lower()
-    assert {"blorgh", "zindle"} <= {lowered[s.start : s.end] for s in got[13].spans}
+        assert got[i].predicted == (got[i].score >= 0.7) == (i % 10 == 3), (i, got[i].score)
+    text = df.filter("doc_id = 13").first().text
+    assert {"Blorgh", "zindle"} & {text[s.start : s.end] for s in got[13].spans}
+    assert all(re.fullmatch(r"\w+", text[s.start : s.end]) and s.marginal >= toxicity.OFFENDING for s in got[13].spans)
     out = toxicity.digest(docs, labels)
     assert out.count() == docs.count() and out.filter("score >= 0.7").count() == 0
     assert toxicity.digest(none, labels).count() == 0
     assert {r.score for r in toxicity.digest(df, labels.limit(0)).collect()} == {0.0}
 
 
-def test_marginals_against_full_forward_backward():
-    m = toxicity.Model({"bad": 3.0, "ugly": 1.0}, -1.5, np.array([[0.3, -0.6], [-0.2, 0.8]]), -0.4)
-    words = ["a", "bad", "b", "c", "ugly", "bad", "d"]
-    emit = np.array([[0, m.weights.get(w, m.other)] for w in words])
-    emit[0, 1] = m.other + m.start
-    want = {}
-    total = 0.0
-    from itertools import product
-
-    mass = np.zeros((len(words), 2))
-    for states in product((0, 1), repeat=len(words)):
-        e = sum(emit[i, s] for i, s in enumerate(states)) + sum(m.transitions[a, b] for a, b in zip(states, states[1:]))
-        total += np.exp(e)
-        for i, s in enumerate(states):
-            mass[i, s] += np.exp(e)
-    want = {i: mass[i, 1] / total for i, w in enumerate(words) if m.known([w])}
-    got = m.marginals(words)
-    assert got == pytest.approx(want, abs=1e-9)
+def full_chain(m, words):
+    """(probability of any toxic token, marginals) by forward-backward over all words."""
+    tagger = m.tagger()
+    emit = [tagger.weighted(words).get(i, m.other) for i in range(len(words))]
+    t = np.exp(np.array([[0.0, m.into], [m.back, m.stay]]))
+    forward, scale, a = [], 0.0, np.array([1.0, 0.0])
+    for e in emit:
+        a = (a @ t) * np.array([1.0, np.exp(e)])
+        scale += np.log(a.sum())
+        a = a / a.sum()
+        forward.append(a)
+    b, out = np.ones(2), [0.0] * len(words)
+    for i in range(len(words) - 1, -1, -1):
+        p = forward[i] * b
+        out[i] = p[1] / p.sum()
+        b = t @ (np.array([1.0, np.exp(emit[i])]) * b)
+        b = b / b.sum()
+    return 1 - np.exp(-scale), out
+
+
+@pytest.mark.parametrize("other,into,stay,back", [(-9.0, 0.0, 1.0, 0.0), (-1.5, -0.6, 0.8, -0.2), (-0.01, -4.0, 4.0, -4.0)])
+def test_marginals_against_full_forward_backward(other, into, stay, back):
+    f = lambda k, w: toxicity._id(k, w)
+    m = toxicity.Model({f("w", "bad"): 5.0, f("w", "ugly"): 1.0, f("after", "so"): 2.0, f("before", "bad"): -1.0, f("shape", "capitals"): 0.5}, other, into, stay, back)
+    words = ["x"] * 3 + ["so", "bad"] + ["y"] * 400 + ["ugly", "BAD"] + ["z"] * 600 + ["bad"]
+    want, marginals = full_chain(m, words)
+    score, got = m.tagger().run(words)
+    assert score == pytest.approx(want, abs=1e-9)
+    assert len(got) >= 6 and got == pytest.approx({i: marginals[i] for i in got}, abs=1e-9)
+    assert m.tagger().run(["plain"] * 1000)[0] == pytest.approx(full_chain(m, ["plain"] * 1000)[0], abs=1e-9)
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(7):
+        at = np.sort(rng.choice(30, i % 5, replace=False))
+        docs.append((30 + i, at, [rng.integers(0, 4, 1 + j % 2) for j in range(len(at))]))
+    y, share = np.array([1, 0, 1, 0, 1, 0, 1]), np.linspace(0.5, 1, 7)
+    theta = np.array([1.0, -0.5, 2.0, 0.3, -3.0, 0.2, 0.7, -0.4])
+
+    def loss(theta):
+        total = 0.0
+        for (n, at, feats), label, w in zip(docs, y, share):
+            emit = np.full(n, theta[4])
+            for i, f in zip(at, feats):
+                emit[i] += theta[f].sum()
+            t, a = np.exp(np.array([[0.0, theta[5]], [theta[7], theta[6]]])), np.array([1.0, 0.0])
+            for e in emit:
+                a = (a @ t) * np.array([1.0, np.exp(e)])
+            clean = 1 / a.sum()
+            total -= w * np.log(1 - clean if label else clean)
+        return total
+
+    got = np.zeros(8)
+    width = max(len(d[1]) for d in docs)
+    gap, tok, flat = np.zeros((7, width + 1), np.int64), np.full((7, width), -1), []
+    for r, (n, at, feats) in enumerate(docs):
+        gap[r, : len(at) + 1] = np.diff(np.concatenate([[-1], at, [n]])) - 1
+        for j, f in enumerate(feats):
+            tok[r, j] = len(flat)
+            flat.append(f)
+    lengths, index = np.unique(gap, return_inverse=True)
+    owner = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    got = toxicity._gradient(theta, 4, np.array([len(d[1]) for d in docs]), lengths, index.reshape(gap.shape), tok, np.concatenate(flat), owner, len(flat), y, share)
+    want = [(loss(theta + d) - loss(theta - d)) / 2e-6 for d in 1e-6 * np.eye(8)]
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-5)
+
+
+def test_families_and_features_are_the_same_in_every_process():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.path.insert(0, sys.argv[1]); from terraledger.llm import toxicity as t; w = [f'a{chr(97 + i % 26)}b{chr(97 + i // 26)}' for i in range(90)]; print(t.least_shingles(w), t.families([t.least_shingles(w[i:]) for i in range(9)]), sorted(t.document_features(w)))"
+    root = str(__import__("pathlib").Path(toxicity.__file__).parents[2])
+    runs = {subprocess.run([sys.executable, "-c", code, root], env={**os.environ, "PYTHONHASHSEED": str(seed)}, capture_output=True, text=True, check=True).stdout for seed in (1, 2, 3)}
+    assert len(runs) == 1
 
 
 def test_sample_is_bounded(spark):
@@ -139,22 +202,23 @@ def test_sample_is_bounded(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in got)
 
 
-def test_evidence_survives_a_clean_quotation():
+def test_evidence_survives_a_clean_quotation(spark):
     import random
 
     rng = random.Random(8)
-    filler = lambda n: [f"{a}{b}{c}" for a, b, c in (rng.choices(["ba", "ne", "ti", "ro", "lu", "ma", "ke", "so", "di", "pu"], k=3) for _ in range(n))]
-    texts, y = [], []
-    for i in range(300):
+    filler = lambda n: ["".join(rng.choices(["ba", "ne", "ti", "ro", "lu", "ma", "ke", "so", "di", "pu"], k=3)) for _ in range(n)]
+    rows, y = [], {}
+    for i in range(600):
         # Toxic texts have a clear word, or several of a word that as many clean ones have once.
         bad = [["blorgh"], ["hraxo"] * 4][i % 2] if i % 10 < 2 else ["hraxo"] if i % 10 == 7 else []
         words = filler(80)
         for b in bad:
             words.insert(rng.randrange(len(words)), b)
-        texts.append(" ".join(words))
-        y.append(int(i % 10 < 2))
-    texts[5] += " blorgh hraxo"  # a clean text that quotes them
-    model = toxicity.fit(texts, np.array(y))
-    assert {"blorgh", "hraxo"} <= set(model.weights)
-    right = [(model.score(t) >= 0.7) == bool(v) for i, (t, v) in enumerate(zip(texts, y)) if i != 5]
-    assert sum(right) >= 0.97 * len(right)
+        rows.append((i, " ".join(words) + (" blorgh hraxo" if i == 5 else "")))  # a clean text that quotes them
+        y[i] = int(i % 10 < 2)
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.digest(df, labels).collect() if r.doc_id != 5}
+    clear, several, once, none = ([v for i, v in got.items() if i % 10 in d] for d in ((0,), (1,), (7,), (2, 3, 4, 5, 6, 8, 9)))
+    assert min(clear) >= 0.7 and max(none) < 0.1
+    # The weak word is worth its share of toxic texts once, and adds up where there are several.
+    assert max(once) < 0.5 < min(several) and min(several) > 1.5 * max(once)
