@@ -8,13 +8,14 @@ flattened into parts. Measures use the first two ordinates.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
 TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
-#: Collections inside collections that are followed.
-COLLECTION_DEPTH = 3
+_COLLECTION = "GeometryCollection"
 _SHAPE = "type string, coordinates string, geometries array<string>"
 
 
@@ -30,18 +31,25 @@ def _coords(kind: Column, text: Column) -> Column:
     )
 
 
-def _parts(shape: Column, depth: int) -> Column:
-    kind = shape["type"]
-    one = F.array(F.struct(kind.alias("type"), _coords(kind, shape["coordinates"]).alias("coords")))
-    if not depth:
-        return one
-    members = F.flatten(F.transform(shape["geometries"], lambda g: _parts(F.from_json(g, _SHAPE), depth - 1)))
-    return F.when(kind == "GeometryCollection", members).otherwise(one)
+def _opened(members: Column) -> Column:
+    """Members with each collection among them replaced by its own members."""
+    shapes = F.transform(members, lambda g: F.struct(g.alias("g"), F.from_json(g, _SHAPE).alias("s")))
+    own = F.transform(shapes, lambda x: F.when(x["s"]["type"] == _COLLECTION, F.coalesce(x["s"]["geometries"], F.array().cast("array<string>"))).otherwise(F.array(x["g"])))
+    return F.flatten(own)
+
+
+def leaves(geojson: Column) -> Column:
+    """The texts of a geometry's simple members, however deep collections lie in each other: one for any other geometry."""
+    # As many rounds as the text names collections: no more can lie in each other.
+    rounds = F.size(F.split(geojson, _COLLECTION)) - 1
+    return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), F.array(geojson), lambda members, _: _opened(members))).otherwise(F.array(geojson))
 
 
 def parse(geojson: Column) -> Column:
-    shape = F.from_json(geojson, _SHAPE)
-    return F.when(shape["type"].isNotNull(), F.struct(shape["type"].alias("type"), _parts(shape, COLLECTION_DEPTH).alias("parts")))
+    shapes = F.transform(leaves(geojson), lambda g: F.from_json(g, "type string, coordinates string"))
+    parts = F.transform(shapes, lambda s: F.struct(s["type"].alias("type"), _coords(s["type"], s["coordinates"]).alias("coords")))
+    kind = F.get_json_object(geojson, "$.type")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), parts.alias("parts")))
 
 
 def positions(geom: Column) -> Column:
@@ -50,9 +58,13 @@ def positions(geom: Column) -> Column:
 
 def bbox(geom: Column) -> Column:
     """STRUCT x0, y0, x1, y1; null where there is no position."""
-    xs, ys = F.transform(positions(geom), lambda p: p[0]), F.transform(positions(geom), lambda p: p[1])
-    box = F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
-    return F.when(F.size(positions(geom)) > 0, box)
+    none = F.struct(*[F.lit(v).alias(c) for c, v in (("x0", math.inf), ("y0", math.inf), ("x1", -math.inf), ("y1", -math.inf))])
+
+    def wider(b: Column, p: Column) -> Column:
+        return F.struct(F.least(b["x0"], p[0]).alias("x0"), F.least(b["y0"], p[1]).alias("y0"), F.greatest(b["x1"], p[0]).alias("x1"), F.greatest(b["y1"], p[1]).alias("y1"))
+
+    # One pass over the positions; finished within, so that the box is one expression.
+    return F.aggregate(positions(geom), none, wider, lambda b: F.when(b["x0"] <= b["x1"], b))
 
 
 def center(box: Column) -> Column:
