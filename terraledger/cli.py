@@ -81,6 +81,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         _put(exporters.to_canonical_json(s), f"{args.output}/world.json")
         _put(exporters.to_geojson(s), f"{args.output}/world.geojson")
         print(f"Wrote {s.entities.count()} entities and {s.claims.count()} claims to {args.output}")
+        told = [(r.provider_id, r.status, r.error) for r in s.provider_summary.select("provider_id", "status", "error").collect()]  # a row a source
+        failed = [(name, status, error.message) for name, status, error in told if error]
+        for name, status, message in failed:
+            print(f"source {name}: {status}: {message}", file=sys.stderr)
+        if told and len(failed) == len(told):
+            raise RuntimeError("no source gave an answer")
     elif args.verb == "inspect":
         s = Snapshot.load(spark, args.snapshot)
         if args.entity:

@@ -132,9 +132,14 @@ def boxes_meet(a: Column, b: Column) -> Column:
 
 def in_bounds(geom: Column, bounds: tuple[float, float, float, float]) -> Column:
     """Inclusive overlap with west, south, east, north; a missing geometry passes."""
-    w, s, e, n = map(F.lit, map(float, bounds))
-    b = bbox(geom)
-    return geom.isNull() | F.coalesce((b["x0"] <= e) & (b["x1"] >= w) & (b["y0"] <= n) & (b["y1"] >= s), F.lit(False))
+    return geom.isNull() | box_in(bbox(geom), bounds)
+
+
+def box_in(b: Column, bounds: tuple[float, float, float, float]) -> Column:
+    """Inclusive overlap of a box with west, south, east, north; false without a box."""
+    w, s, e, n = map(float, bounds)
+    # By a list of one, so that the box is worked out once.
+    return F.exists(F.array(b), lambda x: F.coalesce((x["x0"] <= e) & (x["x1"] >= w) & (x["y0"] <= n) & (x["y1"] >= s), F.lit(False)))
 
 
 def ring_contains(ring: Column, x: Column, y: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,20 +46,38 @@ def value_type(json_text: Column) -> Column:
     return F.when(c == '"', "string").when(c == "[", "array").when(c == "{", "object").when(c == "n", "null").when(c.isin("t", "f"), "boolean").otherwise("number")
 
 
+def _secrets(stop: str) -> str:
+    """The secret parameters of a URL, their values up to one of the characters in stop."""
+    return rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=)[^{stop}]*"
+
+
+#: What is taken out of messages, as (pattern, what stays before, what stands for it), in the syntax that Python and Java share.
+_IN_MESSAGES = ((r"(?i)\bBearer\s+[-\w.~+/=]+", 0, "Bearer REDACTED"), (r"(?i)(https?://)[^/@\s]+@", 1, ""), (_secrets(r"&\s"), 1, "REDACTED"))
+
+
 def redact_url(url: Column) -> Column:
     """Without user and password, secret parameters replaced."""
-    names = "|".join(SECRET_PARAMETERS)
     u = F.regexp_replace(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1")
-    return F.regexp_replace(u, rf"(?i)([?&])({names})=[^&#]*", "$1$2=REDACTED")
+    return F.regexp_replace(u, _secrets("&#"), "$1REDACTED")
+
+
+def _cut(longest: int) -> int:
+    return max(80, longest)
 
 
 def safe_message(text: Column, longest: int = 500) -> Column:
     """An error message without secrets, cut to length."""
-    names = "|".join(SECRET_PARAMETERS)
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)([?&](?:{names})=)[^&\s]*", "$1REDACTED")
-    t = F.regexp_replace(t, r"(?i)(https?://)[^/@\s]+@", "$1")
-    t = F.regexp_replace(t, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer REDACTED")
-    return F.substring(t, 1, max(80, longest))
+    out = F.coalesce(text, F.lit(""))
+    for pattern, group, instead in _IN_MESSAGES:
+        out = F.regexp_replace(out, pattern, (f"${group}" if group else "") + instead)
+    return F.substring(out, 1, _cut(longest))
+
+
+def safe_text(text: str, longest: int = 500) -> str:
+    """safe_message() of a text on the driver."""
+    for pattern, group, instead in _IN_MESSAGES:
+        text = re.sub(pattern, lambda m, g=group, i=instead: (m.group(g) if g else "") + i, text)
+    return text[: _cut(longest)]
 
 
 def _numbers(v):

@@ -31,5 +31,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if tuple(new) == mark:
             break
         mark = tuple(new)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     leaves = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

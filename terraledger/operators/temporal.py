@@ -25,6 +25,12 @@ def _column(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def _revision(df: DataFrame) -> Column:
+    """The revision as a number: an empty text is 0, none and what is no number -1."""
+    text = F.trim(_column(df, "revision", "string"))
+    return F.coalesce(F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double")), F.lit(-1.0))
+
+
 def assess(observations: DataFrame, now: str | None = None, stale_after_ms: int = 0, subject: str | None = None) -> DataFrame:
     """observations with status and reason.
 
@@ -41,7 +47,7 @@ def assess(observations: DataFrame, now: str | None = None, stale_after_ms: int
         {
             "_s": s,
             "_l": F.coalesce(_column(df, "lineage_id", "string"), F.lit("")),
-            "_r": F.coalesce(_column(df, "revision", "double"), F.lit(-1.0)),
+            "_r": _revision(df),
             "_t": F.coalesce(instant_ms(when), F.lit(-1)),
             "_known": instant_ms(when),
             "_d": F.coalesce(_column(df, "deleted", "boolean"), F.lit(False)),
@@ -50,7 +56,9 @@ def assess(observations: DataFrame, now: str | None = None, stale_after_ms: int
             "_v": F.coalesce(_column(df, "value", "string"), F.lit("\u0000")),
         }
     )
-    latest = Window.partitionBy("_s", "_l").orderBy(F.desc("_r"), F.desc("_t"), F.desc("id"))
+    # Rows without lineage are ranked by nothing: they spread by id, so that they make no partition of their own.
+    apart = F.when(F.col("_l") == "", F.xxhash64("id"))
+    latest = Window.partitionBy("_s", "_l", apart).orderBy(F.desc("_r"), F.desc("_t"), F.desc("id"))
     first = F.when(F.col("_l") == "", 1).otherwise(F.row_number().over(latest))
     rows = rows.withColumn("_status", F.when(first > 1, "SUPERSEDED").when((F.col("_l") != "") & F.col("_d"), "DELETED_SOURCE_RECORD").otherwise("CURRENT"))
     # Of a subject's active rows one conflicts with another if they differ in deleted, else in fingerprints

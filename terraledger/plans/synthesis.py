@@ -129,8 +129,9 @@ def synthesize(spark: SparkSession, options: dict) -> Snapshot:
         jobs = [(s, time.time(), pool.submit(query_source, spark, s, request, limits, stamp)) for s in sources]
         for source, began, job in jobs:
             try:
-                # The limit is for the source's answer; Spark's own work on it has a minute more.
-                records, row = job.result(timeout=limits.timeout_ms / 1000 + 60 if limits.timeout_ms else None)
+                # The limit is for the source's answer; Spark's own work on it has a minute more. All count from their own start.
+                left = began + limits.timeout_ms / 1000 + 60 - time.time()
+                records, row = job.result(timeout=max(0.0, left) if limits.timeout_ms else None)
                 found.append(records)
                 rows.append(row)
             except Exception as e:  # noqa: BLE001

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlencode, urljoin, urlsplit
+from urllib.parse import quote, urlencode, urljoin, urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -65,14 +65,16 @@ def geojson_source(config: dict) -> Source:
 
 def ogc_source(config: dict) -> Source:
     """Pages of a collection by their next links, within a request budget and, unless allowed, one origin."""
-    if not all(config.get(k) for k in ("id", "baseUrl", "collectionId", "entityType")):
-        raise TypeError("an OGC API source needs id, baseUrl, collectionId and entityType")
-    root = http_url(config["baseUrl"], "OGC API").rstrip("/")
+    base = config.get("root") or config.get("baseUrl")  # the second is this engine's earlier name
+    if not base or not all(config.get(k) for k in ("id", "collectionId", "entityType")):
+        raise TypeError("an OGC API source needs id, root, collectionId and entityType")
+    root = http_url(base, "OGC API").rstrip("/")
+    items = f"{root}/collections/{quote(str(config['collectionId']), safe='')}"
     origin = lambda u: urlsplit(u)[:2]
 
     def read(spark: SparkSession, request: Request, limits: Limits) -> Batch:
         page, budget = _clamp(config.get("pageSize"), 500, 1000), _clamp(config.get("maxRequests"), 8, 32)
-        url = f"{root}/collections/{config['collectionId']}/items?bbox={_bbox(request)}&limit={page}&f=json"
+        url = f"{items}/items?bbox={_bbox(request)}&limit={page}&f=json"
         records, made, size = [], 0, 0
         while url and made < budget:
             doc, n = get_json(config, url, limits, headers=_ACCEPT, label="OGC API Features")
@@ -87,7 +89,7 @@ def ogc_source(config: dict) -> Source:
             if after and origin(after) != origin(root) and config.get("allowCrossOriginNext") is not True:
                 raise RuntimeError("OGC API next link changed origin")
             url = after
-        return answer(spark, records, request, f"{root}/collections/{config['collectionId']}", exhausted=budget if url else 0, requests=made, size=size)
+        return answer(spark, records, request, items, exhausted=budget if url else 0, requests=made, size=size)
 
     return define({**config, "capabilities": [config["entityType"]]}, read, dataset_id=config["collectionId"], dataset_version="live", homepage=root, source_crs="OGC:CRS84")
 

@@ -82,7 +82,9 @@ def file_source(config: dict) -> Source:
         df = features_to_raw(opened.filter("is_feature"), config).unionByName(records_to_raw(opened.filter("not is_feature")))
         if request.bounds:
             moved = crs.transform_geojson(F.col("geometry"), F.coalesce(F.nullif("source_crs", F.lit("")), F.lit(own_crs)))
-            df = df.filter(F.col("geometry").isNull() | geometry.in_bounds(geometry.parse(moved), request.bounds))
+            # Boxes are kept as a column, so that the filter does not repeat the parsing.
+            df = df.withColumn("_b", geometry.bbox(geometry.parse(moved)))
+            df = df.filter(F.col("geometry").isNull() | geometry.box_in(F.col("_b"), request.bounds)).drop("_b")
         df = df.withColumn("source_url", F.coalesce(F.nullif("source_url", F.lit("")), F.lit(str(config.get("sourceUrl") or "")))).withColumn("evidence_class", F.coalesce(F.nullif("evidence_class", F.lit("")), F.lit("DIRECT_SOURCE")))
         return Batch(df, "", request.bounds, str(config.get("sourceUrl") or ""), "", [], {"request_count": 0, "transferred_bytes": size, "from_cache": True})
 

@@ -66,7 +66,7 @@ def overture_source(config: dict) -> Source:
     release = str(config.get("release") or "")
     if not config.get("id") or not RELEASE.match(release):
         raise TypeError("an Overture source needs id and a pinned release such as 2026-01-01.0")
-    most = min(500 << 20, max(1024, int(config.get("maxFileBytes") or 500 << 20)))
+    most = min(500 << 20, max(1024, int(config.get("maxDownloadBytes") or config.get("maxFileBytes") or 500 << 20)))
 
     def download(cfg: dict, bounds, target: str, timeout: float) -> None:
         command = [str(cfg.get("command") or "uvx"), *(cfg.get("commandArgs") or ["overturemaps"]), "download", f"--bbox={','.join(map(str, bounds))}", "-f", "geojson", "--type=building", "-r", release, "-o", target]
@@ -79,9 +79,9 @@ def overture_source(config: dict) -> Source:
             return Batch(raw.filter(geometry.in_bounds(geometry.parse(F.col("geometry")), request.bounds)) if request.bounds else raw, "", request.bounds)
         with tempfile.TemporaryDirectory() as folder:
             target = Path(folder, "buildings.geojson")
-            (config.get("download") or download)(config, request.bounds, str(target), float(config.get("timeoutMs") or 120_000) / 1000)
+            (config.get("download") or download)(config, request.bounds, str(target), float(config.get("downloadTimeoutMs") or config.get("timeoutMs") or 120_000) / 1000)
             if target.stat().st_size > most:
-                raise ValueError("the download exceeds maxFileBytes")
+                raise ValueError("the download exceeds maxDownloadBytes")
             body = target.read_text()
         doc = spark.createDataFrame([(body,)], "value string")
         items = doc.select(F.explode(F.from_json("value", "features array<string>")["features"]).alias("item"))

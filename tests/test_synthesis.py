@@ -16,24 +16,30 @@ from terraledger.sources.base import Source
 from terraledger.sources.local import local_source
 from terraledger.types import RAW, SourceError, SynthesisError
 
-BOUNDS = [-76.6140, 39.2890, -76.6100, 39.2920]
-RING = [[-76.6131, 39.29], [-76.6119, 39.29], [-76.6119, 39.2909], [-76.6131, 39.2909], [-76.6131, 39.29]]
+#: An invented ferry landing: a depot on its plot, a path, one kiosk in the depot and one beside it, and a laser survey of the depot.
+BOUNDS = [7.4120, 62.7310, 7.4260, 62.7390]
+RING = [[7.4172, 62.7341], [7.4196, 62.7341], [7.4196, 62.7352], [7.4184, 62.7352], [7.4184, 62.7357], [7.4172, 62.7357], [7.4172, 62.7341]]
 R = 6378137.0
 PROJECTED = [[x * R * math.pi / 180, R * math.log(math.tan(math.pi / 4 + y * math.pi / 360))] for x, y in RING]
 
 
-def sources(height=14):
-    shared = {"licenseId": "CC0-1.0", "operator": "authors", "attribution": "example"}
-    parcel = [[-76.6135, 39.2897], [-76.6115, 39.2897], [-76.6115, 39.2912], [-76.6135, 39.2912], [-76.6135, 39.2897]]
-    direct = {"evidenceClass": "DIRECT_SOURCE"}
-    registry = [
-        {"sourceId": "building-17", "entityType": "building", "gersId": "demo-17", "geometry": {"type": "Polygon", "coordinates": [RING]}, "properties": {"name": "Workshop", "type": "commercial", "height": 12, "levels": 3}, "observedAt": "2026-08-01T00:00:00Z", **direct},
-        {"sourceId": "parcel-4", "entityType": "parcel", "geometry": {"type": "Polygon", "coordinates": [parcel]}, "properties": {"name": "Parcel 4"}, **direct},
-        {"sourceId": "road-2", "entityType": "road", "geometry": {"type": "LineString", "coordinates": [[-76.6138, 39.2895], [-76.6103, 39.2915]]}, "properties": {"name": "Lane", "class": "local"}, **direct},
-        {"sourceId": "poi-8", "entityType": "poi", "geometry": {"type": "Point", "coordinates": [-76.6125, 39.29045]}, "properties": {"name": "Entrance", "category": "entrance"}, **direct},
+def record(source_id, kind, shape, coordinates, properties, **more):
+    return {"sourceId": source_id, "entityType": kind, "geometry": {"type": shape, "coordinates": coordinates}, "properties": properties, "evidenceClass": "DIRECT_SOURCE", **more}
+
+
+def sources(storeys=6):
+    shared = {"licenseId": "ODbL-1.0", "operator": "survey office", "attribution": "survey office, invented"}
+    plot = [[7.4160, 62.7335], [7.4210, 62.7338], [7.4208, 62.7362], [7.4158, 62.7360], [7.4160, 62.7335]]
+    depot = {"name": "Ferry depot", "type": "transport", "roof": "gable", "storeys": 5}
+    cadastre = [
+        record("b/900", "building", "Polygon", [RING], depot, gersId="syn-depot", observedAt="2031-03-09T06:00:00Z"),
+        record("p/31", "parcel", "Polygon", [plot], {"name": "Plot 31", "zoning": "port"}),
+        record("w/5", "road", "LineString", [[7.4130, 62.7320], [7.4165, 62.7330], [7.4240, 62.7380]], {"name": "Quay path", "class": "footway"}),
+        record("k/1", "poi", "Point", [7.4178, 62.7346], {"name": "Ticket hatch", "category": "tickets"}),
+        record("k/2", "poi", "Point", [7.4230, 62.7375], {"name": "Bait stall", "category": "shop", "open": False}),
     ]
-    survey = [{"sourceId": "survey-a", "entityType": "building", "gersId": "demo-17", "geometry": {"type": "Polygon", "coordinates": [PROJECTED]}, "properties": {"name": "Workshop", "height": height, "roofShape": "flat"}, "observedAt": "2026-08-03T00:00:00Z", **direct}]
-    return [local_source({"id": "registry", "sourceCrs": "OGC:CRS84", "records": registry, **shared}), local_source({"id": "survey", "sourceCrs": "EPSG:3857", "records": survey, **shared})]
+    laser = [record("scan-12", "building", "Polygon", [PROJECTED], {"name": "Ferry depot", "storeys": storeys, "height": 19.5}, gersId="syn-depot", observedAt="2031-05-20T12:30:00Z")]
+    return [local_source({"id": "cadastre", "sourceCrs": "OGC:CRS84", "records": cadastre, **shared}), local_source({"id": "laser", "sourceCrs": "EPSG:3857", "records": laser, **shared})]
 
 
 def options(providers, **more):
@@ -47,13 +53,13 @@ def snap(spark):
 
 @pytest.fixture(scope="module")
 def changed(spark):
-    return synthesize(spark, options(sources(15)))
+    return synthesize(spark, options(sources(7)))
 
 
 def test_basic(snap):
-    assert snap.entities.count() == 4 and snap.claims.count() == 12 and snap.meta["totals"]["unresolved_conflicts"] == 1
+    assert snap.entities.count() == 5 and snap.claims.count() == 16 and snap.meta["totals"]["unresolved_conflicts"] == 1
     b = snap.entities.filter("type = 'building'").first()
-    assert b.id == "tl:building:gers:demo-17" and b.resolved["height"] == "14" and [c.property for c in b.conflicts] == ["height"] and b.evidence_summary.source_count == 2
+    assert b.id == "tl:building:gers:syn-depot" and b.resolved["storeys"] == "6" and [c.property for c in b.conflicts] == ["storeys"] and b.evidence_summary.source_count == 2
     rel = {(r.type, r.source_id.split(":")[1], r.target_id.split(":")[1]) for r in snap.relationships.collect()}
     assert rel == {("located_on_parcel", "building", "parcel"), ("located_in_building", "poi", "building")}
     assert {r.decision for r in snap.decisions.collect()} == {"MATCH", "NO_MATCH"}
@@ -67,32 +73,32 @@ def test_fingerprint_ignores_order_and_time(spark, snap, changed):
 
 def test_diff_store_and_inspect(spark, snap, changed, tmp_path):
     d = diff.diff_document(diff.diff_snapshots(snap, changed))
-    assert d["changed"] and d["affected_entity_ids"] == ["tl:building:gers:demo-17"] and len(d["claims"]["added"]) == len(d["claims"]["removed"]) == 1
+    assert d["changed"] and d["affected_entity_ids"] == ["tl:building:gers:syn-depot"] and len(d["claims"]["added"]) == len(d["claims"]["removed"]) == 1
     assert not diff.diff_snapshots(snap, snap)["changed"] and diff.diff_snapshots(snap, snap)["affected_entities"].count() == 0
     store = SnapshotStore(spark, f"file://{tmp_path}/store")
     assert store.load() is None and store.list() == []
     store.save(snap)
     store.apply_incremental(snap, changed)
     assert store.load().fingerprint == changed.fingerprint and store.list() == sorted([snap.fingerprint, changed.fingerprint]) and len(store.history(0)) == 2
-    assert store.load(snap.fingerprint).entities.count() == 4 and store.load("0" * 64) is None
+    assert store.load(snap.fingerprint).entities.count() == 5 and store.load("0" * 64) is None
     with pytest.raises(ValueError):
         store.load("../x")
-    got = diff.inspect_entity(snap, "tl:building:gers:demo-17")
+    got = diff.inspect_entity(snap, "tl:building:gers:syn-depot")
     assert {k: v.count() for k, v in got.items()} == {"entity": 1, "source_records": 2, "claims": 7, "provenance": 2, "reconciliation": 1, "selections": 5, "temporal": 7, "conflicts": 2}
     assert diff.inspect_entity(snap, "nothing") is None
 
 
 def test_exports(snap, tmp_path):
     g = exporters.to_geojson(snap)
-    assert len(g["features"]) == 4 and g["tl:fingerprint"] == snap.fingerprint
+    assert len(g["features"]) == 5 and g["tl:fingerprint"] == snap.fingerprint
     b = next(f for f in g["features"] if f["id"].startswith("tl:building"))
-    assert b["properties"]["height"] == 14 and b["properties"]["_tl:unresolvedConflictCount"] == 1 and b["geometry"]["coordinates"] == [RING]
+    assert b["properties"]["storeys"] == 6 and b["properties"]["_tl:unresolvedConflictCount"] == 1 and b["geometry"]["coordinates"] == [RING]
     p = exporters.to_prov_json(snap)
-    assert len(p["entity"]) == 9 and len(p["agent"]) == 2 and len(p["wasDerivedFrom"]) == 5 and len(p["wasAttributedTo"]) == 5 and len(p["activity"]) == 1
+    assert len(p["entity"]) == 11 and len(p["agent"]) == 2 and len(p["wasDerivedFrom"]) == 6 and len(p["wasAttributedTo"]) == 6 and len(p["activity"]) == 1
     assert json.loads(exporters.to_canonical_json(snap, pretty=False))["fingerprint"] == snap.fingerprint
     exporters.write_geojson_lines(snap, f"file://{tmp_path}/lines")
     exporters.write_entities(snap, f"file://{tmp_path}/entities")
-    assert snap.entities.sparkSession.read.parquet(f"file://{tmp_path}/entities").filter("bbox.x0 < -76.6130").count() == 3
+    assert snap.entities.sparkSession.read.parquet(f"file://{tmp_path}/entities").filter("bbox.x0 < 7.4175").count() == 3
 
 
 def test_failures_become_rows(spark):
@@ -103,7 +109,7 @@ def test_failures_become_rows(spark):
     s = synthesize(spark, options([sources()[0], bad]))
     rows = {r.provider_id: r for r in s.provider_summary.collect()}
     assert rows["broken"].status == "rate_limited" and "token=REDACTED" in rows["broken"].error.message and "u:p" not in rows["broken"].error.message
-    assert s.entities.count() == 4
+    assert s.entities.count() == 5
     with pytest.raises(SourceError):
         synthesize(spark, options([bad], continueOnProviderError=False))
     with pytest.raises(SynthesisError) as e:
@@ -117,7 +123,7 @@ def test_failures_become_rows(spark):
 
 def test_cli(spark, tmp_path, capsys):
     config = tmp_path / "w.json"
-    places = {"type": "FeatureCollection", "features": [{"type": "Feature", "id": f"p{i}", "geometry": {"type": "Point", "coordinates": [-76.612 + i * 1e-3, 39.29]}, "properties": {"name": f"P{i}", "kind": "shop"}} for i in range(2)]}
+    places = {"type": "FeatureCollection", "features": [{"type": "Feature", "id": f"p{i}", "geometry": {"type": "Point", "coordinates": [7.42 + i * 1e-3, 62.735]}, "properties": {"name": f"P{i}", "kind": "shop"}} for i in range(2)]}
     (tmp_path / "places.geojson").write_text(json.dumps(places))
     config.write_text(json.dumps({"bounds": BOUNDS, "requestedCapabilities": ["poi"], "providers": [{"type": "local-file", "id": "places", "path": "places.geojson", "entityType": "poi", "publicFields": ["name", "kind"], "fieldMap": {"kind": "category"}}]}))
     out = tmp_path / "out"
@@ -163,7 +169,7 @@ def test_postgis(snap, changed):
     start = len(c.calls)
     got = store.apply_incremental(snap, changed)
     later = [s for s, _ in c.calls[start:]]
-    assert got["diff"]["affected_entity_ids"] == ["tl:building:gers:demo-17"] and later[0] == "BEGIN" and later[-1] == "COMMIT"
+    assert got["diff"]["affected_entity_ids"] == ["tl:building:gers:syn-depot"] and later[0] == "BEGIN" and later[-1] == "COMMIT"
     assert sum("INSERT INTO terraledger.entities" in s for s in later) == 1 and any("ANY(%s)" in s for s in later)
     bad = Client("INSERT INTO terraledger.claims")
     with pytest.raises(RuntimeError):
