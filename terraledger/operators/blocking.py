@@ -1,9 +1,10 @@
 """Candidate pairs: shared stable ids first, then a spatial join by grid cells.
 
-Every box lies on the grid level whose cells are about its own size, and also emits its cells on the
-coarser levels that occur. A pair is found on the coarser of its two levels, in the cell that holds
-the lower left corner of the boxes' intersection, so each pair comes once without removing
-duplicates, and a large box costs a few cells, not thousands.
+Every box lies on the grid level whose cells are about its own size. A pair is found on the coarser of
+its two levels, in the cell that holds the lower left corner of the boxes' intersection, so each pair
+comes once without removing duplicates, and a large box costs a few cells, not thousands. There are two
+equi-joins, one for pairs whose left box is as coarse or coarser, one for the others: so a box as large
+as a continent meets every box in it, but those do not meet each other in its cell.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def cells(box: Column, level: Column) -> Column:
 
 def _levels(boxed: DataFrame) -> list[int]:
     """The levels on which any box lies: LEVELS + 1 small numbers at most."""
-    return sorted(r[0] for r in boxed.select("level").distinct().collect())
+    return sorted(r[0] for r in boxed.select("level").distinct().collect()) or [0]
 
 
 def radius(kind: Column, policies: dict[str, Policy]) -> Column:
@@ -87,22 +88,27 @@ def radius(kind: Column, policies: dict[str, Policy]) -> Column:
     return out
 
 
+def in_one_cell(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs with equal keys and a cell in common, of the coarser of their levels: l, r, their boxes and levels, and the cell."""
+    a, b = (d.filter("box is not null").withColumn("level", own_level(F.col("box"))) for d in (left, right))
+    on_left, on_right = _levels(a), _levels(b)
+
+    def dealt(d: DataFrame, name: str, keep) -> DataFrame:
+        return d.select(*[F.col(k) for k in keys], F.explode(F.filter(cells(F.col("box"), F.col("level")), keep)).alias("cell"), F.col("row").alias(name), F.col("box").alias(f"{name}_box"), F.col("level").alias(f"{name}_level"))
+
+    # A cell holds the boxes of its own level of one side only, with whatever of the other lies in it: what is
+    # small on both sides meets in small cells, however large some other boxes are.
+    own = lambda level: lambda c: c["level"] == level
+    wide = dealt(a, "l", own(F.col("level"))).join(dealt(b, "r", lambda c: c["level"].isin(*on_left)), [*keys, "cell"])
+    narrow = dealt(a, "l", lambda c: (c["level"] > F.col("level")) & c["level"].isin(*on_right)).join(dealt(b, "r", own(F.col("level"))), [*keys, "cell"])
+    return wide.unionByName(narrow)
+
+
 def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], extra: Column | None = None) -> DataFrame:
     """Pairs (l, r) of structs whose boxes meet, with equal keys. Both sides have columns row, box and the keys; box null never meets."""
-    sides = []
-    for d in (left, right):
-        sides.append(d.filter("box is not null").withColumn("level", own_level(F.col("box"))))
-    used = sorted(set(_levels(sides[0])) | set(_levels(sides[1]))) or [0]
-    out = []
-    for d, name in zip(sides, "lr"):
-        all_cells = F.filter(cells(F.col("box"), F.col("level")), lambda c: c["level"].isin(*used))
-        out.append(d.select(*[F.col(k) for k in keys], F.explode(all_cells).alias("cell"), F.col("row").alias(name), F.col("box").alias(f"{name}_box"), F.col("level").alias(f"{name}_level")))
-    a, b = out
-    joined = a.join(b, [*keys, "cell"])
     s = _size(F.col("cell.level"))
     corner = lambda c, i: F.floor(F.greatest(F.col(f"l_box.{c}"), F.col(f"r_box.{c}")) / s) == F.col(f"cell.{i}")
-    keep = (F.col("cell.level") == F.greatest("l_level", "r_level")) & geometry.boxes_meet(F.col("l_box"), F.col("r_box")) & corner("x0", "x") & corner("y0", "y")
-    joined = joined.filter(keep)
+    joined = in_one_cell(left, right, keys).filter(geometry.boxes_meet(F.col("l_box"), F.col("r_box")) & corner("x0", "x") & corner("y0", "y"))
     return joined.filter(extra) if extra is not None else joined
 
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from terraledger.operators import buildings, entities, matching, temporal
 from terraledger.types import BuildingPolicy
@@ -174,3 +175,20 @@ def test_representation(spark, tier, want):
     assert temporal.select_representation(df, device_tier=tier, distance_m=10).first().selected_class == want
     why = {r.id: r.rejection_reasons for r in temporal.representations(df, tier, 10).collect()}
     assert why["o"] == ["not-authorized"] and why["x"] == ["different-entity"] and why["f"] == ["outside-lod-distance"]
+
+
+def test_a_continent_sized_box_does_not_pair_all_others(spark):
+    """Rows that the join gives before boxes are compared grow with the rows, one huge box on either side or not; pairs are exact."""
+    from terraledger.operators.blocking import box_pairs, in_one_cell
+
+    def side(n, step, large):
+        df = spark.range(n).select(F.lit(1).alias("k"), F.struct("id").alias("row"), (F.col("id") % 50 * 0.01 + step).alias("x"), (F.floor(F.col("id") / 50) * 0.01).alias("y"))
+        df = df.select("k", "row", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 0.002).alias("x1"), (F.col("y") + 0.002).alias("y1")).alias("box"))
+        huge = spark.range(large).select(F.lit(1).alias("k"), F.struct((F.col("id") + 1_000_000).alias("id")).alias("row"), F.struct(*[F.lit(v).alias(c) for c, v in (("x0", -30.0), ("y0", -30.0), ("x1", 30.0), ("y1", 30.0))]).alias("box"))
+        return df.union(huge)
+
+    for n in (500, 2000):
+        got = box_pairs(side(n, 0.0, 1), side(n, 0.001, 1), ["k"])
+        assert got.count() == n + 2 * n + 1 == got.select("l.id", "r.id").distinct().count()
+    evaluated = {n: in_one_cell(side(n, 0.0, 1), side(n, 0.001, 1), ["k"]).count() for n in (500, 2000)}
+    assert evaluated[2000] <= 6 * evaluated[500] and evaluated[2000] <= 30 * 2000
