@@ -202,6 +202,50 @@ def q_validity(spark, sf):
     return b.select("k", v.alias("v")).select("k", "v.valid", F.array_join("v.warnings", ",").alias("warnings"))
 
 
+@query(f"SELECT k, round(x, 6) AS x0, round(y, 6) AS y0, round(x + 1e-3, 6) AS x1, round(y + 1e-3, 6) AS y1, CASE k % 4 WHEN 0 THEN 'GeometryCollection' WHEN 1 THEN 'LineString' WHEN 2 THEN 'MultiPoint' ELSE 'Polygon' END AS kind FROM ({SQL_L})")
+def q_transform_geojson(spark, sf):
+    """Geometries of four kinds in metres, one a point and a line five collections deep, brought to degrees and boxed."""
+    c = customers(spark, sf)
+    a, b = (crs.transform_xy(F.col("x") + d, F.col("y") + d, "OGC:CRS84", "EPSG:3857") for d in (0.0, 1e-3))
+    c = c.withColumns({"ax": a[0], "ay": a[1], "bx": b[0], "by": b[1]})
+    at = lambda x, y: F.concat(F.lit("["), F.col(x), F.lit(","), F.col(y), F.lit("]"))
+    of = lambda kind, *inner: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), *inner, F.lit("}"))
+    low, high, comma = at("ax", "ay"), at("bx", "by"), F.lit(",")
+    ends = (F.lit("["), low, comma, high, F.lit("]"))
+    nested = of("LineString", *ends)
+    for _ in range(5):
+        nested = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), of("Point", low), comma, nested, F.lit("]}"))
+    ring = of("Polygon", F.lit("[["), low, comma, at("bx", "ay"), comma, high, comma, at("ax", "by"), comma, low, F.lit("]]"))
+    text_ = F.when(F.col("k") % 4 == 0, nested).when(F.col("k") % 4 == 1, of("LineString", *ends)).when(F.col("k") % 4 == 2, of("MultiPoint", *ends)).otherwise(ring)
+    g = geometry.parse(crs.transform_geojson(text_, F.lit("EPSG:3857")))
+    box = c.select("k", geometry.bbox(g).alias("b"), g["type"].alias("kind"))
+    return box.select("k", *[F.round(f"b.{v}", 6).alias(v) for v in ("x0", "y0", "x1", "y1")], "kind")
+
+
+# Boxes of four sizes, from a street to a continent, each side with its own.
+SQL_SIZED = "SELECT k, x, y, CASE WHEN k % 500 = 0 THEN 4e1 WHEN k % 50 = 0 THEN 1e0 WHEN k % 5 = 0 THEN 3e-2 ELSE 1e-4 END AS w"
+
+
+@query(f"SELECT l.k, count(*) AS met, CAST(sum(r.k) AS BIGINT) AS total FROM ({SQL_SIZED} FROM ({SQL_L})) l JOIN ({SQL_SIZED} FROM ({SQL_L})) r ON l.x <= r.x + 5e-5 + r.w AND r.x + 5e-5 <= l.x + l.w AND l.y <= r.y + 5e-5 + r.w AND r.y + 5e-5 <= l.y + l.w GROUP BY l.k")
+def q_mixed_boxes(spark, sf):
+    """Pairs of boxes of very unequal sizes that meet."""
+    w = F.when(F.col("k") % 500 == 0, 4e1).when(F.col("k") % 50 == 0, 1e0).when(F.col("k") % 5 == 0, 3e-2).otherwise(1e-4)
+
+    def side(shift: float) -> DataFrame:
+        x, y = (F.col(c) + shift if shift else F.col(c) for c in "xy")
+        return customers(spark, sf).select(F.lit(1).alias("one"), F.struct("k").alias("row"), F.struct(x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + w).alias("y1")).alias("box"))
+
+    return blocking.box_pairs(side(0.0), side(5e-5), ["one"]).groupBy(F.col("l.k").alias("k")).agg(F.count("*").alias("met"), F.sum("r.k").alias("total"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cafe cre me ' WHEN 1 THEN 'u ber strasse ' WHEN 2 THEN 'o s lo fi ' ELSE 'n andu x2 ' END || p_partkey AS form FROM part")
+def q_accented_text(spark, sf):
+    """The comparison form of texts with accents, ligatures, letters without a decomposition and superscripts."""
+    k = F.col("p_partkey")
+    t = F.when(k % 4 == 0, "Caf\u00e9-Cr\u00c8ME").when(k % 4 == 1, "\u00dcber  STRASSE!").when(k % 4 == 2, "\u00f4-\u0161L\u014d \ufb01").otherwise("\u00d1and\u00fa x\u00b2")
+    return table(spark, sf, "part").select("p_partkey", text.normalized(F.concat(t, F.lit(" "), k)).alias("form"))
+
+
 # Every nation has a large box, and those of even keys a small one inside; customers fall in the smallest.
 SQL_ZONES = """SELECT 'big' || n_nationkey AS id, -120.005e0 + (n_nationkey % 5) * 8e-2 AS x0, 29.995e0 + (n_nationkey // 5) * 8e-2 AS y0, 8e-2 AS s FROM nation
     UNION ALL SELECT 'small' || n_nationkey, -120.005e0 + (n_nationkey % 5) * 8e-2, 29.995e0 + (n_nationkey // 5) * 8e-2, 4e-2 FROM nation WHERE n_nationkey % 2 = 0"""
