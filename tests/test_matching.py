@@ -192,3 +192,9 @@ def test_a_continent_sized_box_does_not_pair_all_others(spark):
         assert got.count() == n + 2 * n + 1 == got.select("l.id", "r.id").distinct().count()
     evaluated = {n: in_one_cell(side(n, 0.0, 1), side(n, 0.001, 1), ["k"]).count() for n in (500, 2000)}
     assert evaluated[2000] <= 6 * evaluated[500] and evaluated[2000] <= 30 * 2000
+
+
+def test_revisions_may_be_texts(spark):
+    rows = [("a", "L", "1"), ("b", "L", "v2"), ("c", "L", ""), ("d", "L", "10"), ("e", "", None), ("f", None, "x")]
+    got = {r.id: r.status for r in temporal.assess(spark.createDataFrame(rows, "id string, lineage_id string, revision string")).select("id", "status").collect()}
+    assert [k for k in "abcd" if got[k] != "SUPERSEDED"] == ["d"] and got["e"] != "SUPERSEDED" != got["f"]
