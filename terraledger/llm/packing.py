@@ -7,8 +7,9 @@ partitions of the largest spread are merged again and again, the fullest windows
 emptiest of the other, so that opposing imbalances cancel. k starts at the least count that could
 hold the block and rises while a window is over capacity; since texts may be cut, tails are first
 cut to quarters of a window, which keeps k at that least count or one above it.
-Blocks are made of the rows of one task in order, so no row is shuffled and memory is bounded by a
-block, whatever the sizes of documents or sources.
+Blocks are made of the rows of one task in order, so no row is shuffled. Full windows leave at once;
+only tails, shorter than a window each, wait for their block, so memory is bounded by a portion of
+encoded text and a block of tails, whatever the sizes of documents or sources.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .runtime import text_or_empty
 from .tokens import encoder, packed, portions
 
-#: Tails that one block balances, and the part of a window that their pieces have at most.
-BLOCK, CUT = 256, 4
+#: Tails that one block balances at least, windows that they fill at least (so that the last, partly
+#: filled one weighs little), and the part of a window that their pieces have at most.
+BLOCK, FILL, CUT = 256, 16, 4
 #: Bytes of text that are encoded at once.
 PORTION = 4 << 20
 
@@ -96,15 +98,15 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        most_rows = 512 if keep_ids else 4096
         enc, end, made = encoder(tokenizer), packed([end_id]), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         tails: list[tuple[int, int, int]] = []
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, int, bytes]] = []  # of each tail: doc_id, its document's ids, its own ids
+        waiting = 0
 
-        def put(doc: int, start: int, length: int, offset: int) -> None:
-            doc_id, raw = held[doc]
-            part = raw[4 * start : 4 * (start + length)]
-            rows.append((doc_id, start, length, zlib.crc32(part), len(raw) // 4, made, offset) + ((np.frombuffer(part, np.uint32),) if keep_ids else ()))
+        def put(doc_id: int | None, total: int, start: int, part: bytes, offset: int) -> None:
+            rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, made, offset) + ((np.frombuffer(part, np.uint32),) if keep_ids else ()))
 
         def batch() -> pa.RecordBatch:
             names = [*cols, "ids"] if keep_ids else cols
@@ -113,15 +115,18 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
             return out
 
         def close() -> None:
-            nonlocal made
+            nonlocal made, waiting
             for part in balanced(tails, window):
                 offset = 0
-                for doc, start, length in part:
-                    put(doc, start, length, offset)
+                for tail, start, length in part:
+                    doc_id, total, raw = held[tail]
+                    at = 4 * (start - tails[tail][1])
+                    put(doc_id, total, start, raw[at : at + 4 * length], offset)
                     offset += length
                 made += 1
             tails.clear()
             held.clear()
+            waiting = 0
 
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -129,19 +134,20 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
                 pa.default_memory_pool().release_unused()  # what the portion before needed
                 codes, ends = enc.encode_all(b.column(1).slice(at, n_texts), end)
                 for i, doc_id in enumerate(ids[at : at + n_texts]):
-                    raw = codes[ends[i] : ends[i + 1]].tobytes()
-                    held.append((doc_id, raw))
-                    n = len(raw) // 4
-                    for start in range(0, n - n % window, window):
-                        put(len(held) - 1, start, window, 0)
+                    own = codes[ends[i] : ends[i + 1]]
+                    n, tail = len(own), len(own) % window
+                    for start in range(0, n - tail, window):
+                        put(doc_id, n, start, own[start : start + window].tobytes(), 0)
                         made += 1
-                    if n % window:
-                        tails.append((len(held) - 1, n - n % window, n % window))
-                    else:
-                        held[-1] = (doc_id, b"")
-                    if len(tails) >= block:
+                        if len(rows) >= most_rows:
+                            yield batch()
+                    if tail:
+                        tails.append((len(held), n - tail, tail))
+                        held.append((doc_id, n, own[n - tail :].tobytes()))
+                        waiting += tail
+                    if len(tails) >= block and waiting >= FILL * window:
                         close()
-                    if len(rows) >= 4096:
+                    if len(rows) >= most_rows:
                         yield batch()
         close()
         if rows:

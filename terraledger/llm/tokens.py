@@ -130,14 +130,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
+        #: Literals that the library finds in texts; a text with one is encoded in one call, without the switch.
+        self.literals = [t["content"] for t in spec.get("added_tokens") or ()]
         pre = spec.get("pre_tokenizer") or {}
         free = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.words = _Words(self.tokenizer) if free and not spec.get("truncation") and not spec.get("padding") else None
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, 4 bytes each."""
-        if self.words is None or UNSURE.search(text):
+        if self.words is None or any(x in text for x in self.literals):
+            return packed(self.whole.encode(text, add_special_tokens=False).ids)
+        if UNSURE.search(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(text) > LONG:
             # Cut before single spaces between words, where no token reaches over.
@@ -171,6 +176,8 @@ class Encoder:
             odd[:] = True
         else:
             odd = odd | pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+            for literal in self.literals:
+                odd = odd | pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
         cut = pc.split_pattern(plain, " ")
         offsets = cut.offsets.to_numpy()
