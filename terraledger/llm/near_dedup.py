@@ -28,7 +28,7 @@ from terraledger.operators.components import components
 from .runtime import arrow_rows, text_or_empty, written
 from .textstats import mixed, windows
 
-#: Classes and shingles that a block has about at most; ids of clustered classes that may be broadcast (8 + 16 bytes each).
+#: Classes and shingles that a block has about at most; ids of clustered classes that may be broadcast (32 bytes each).
 BLOCK_CLASSES, BLOCK_SHINGLES, BROADCAST_IDS = 800, 400_000, 2_000_000
 SEED = 20_240_501
 
@@ -112,7 +112,7 @@ def corrected(share: np.ndarray, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """(u, doc_id, n_shingles, fp, sig, bands) of every row; fp, sig and bands are null without words."""
+    """(u, doc_id, th, n_shingles, fp, sig, bands) of every row; th hashes the text; fp, sig and bands are null without words."""
     mul = multipliers(p.k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 n, fp, sig, bands = [], [], [], []
-                for t in part.column(2).to_pylist():
+                for t in part.column(3).to_pylist():
                     s = shingles(t, p.words)
                     n.append(len(s))
                     if not len(s):
@@ -135,30 +135,39 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
                     bands.append(h.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["u", "doc_id", "n_shingles", "fp", "sig", "bands"],
+                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["u", "doc_id", "th", "n_shingles", "fp", "sig", "bands"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("u"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "u long, doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("u"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "u long, doc_id long, th long, n_shingles long, fp binary, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """wanted (id, fp, ...) with the shingle set of a document of that id and fingerprint."""
+    """wanted (node, id, th, fp, ...) with the shingle set of a document of that id, text hash and fingerprint.
+
+    Rows without id, or that share one, meet their own text only. A task gives a node once, however
+    many rows repeat its id and text.
+    """
     names = wanted.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_fp = names.index("fp")
+        at_fp, at_node, done = names.index("fp"), names.index("node"), set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingles(t, p.words) for t in part.column(len(names)).to_pylist()]
-                good = [hashlib.md5(s.tobytes()).digest() == f for s, f in zip(sets, part.column(at_fp).to_pylist())]
+                sets, good = [], []
+                for text, node, fp in zip(part.column(len(names)), part.column(at_node).to_pylist(), part.column(at_fp).to_pylist()):
+                    s = np.zeros(0, np.uint64) if node in done else shingles(text.as_py(), p.words)
+                    sets.append(s)
+                    good.append(node not in done and hashlib.md5(s.tobytes()).digest() == fp)
+                    if good[-1]:
+                        done.add(node)
                 cols = [*part.columns[: len(names)], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*names, "s"]).filter(pa.array(good))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), text_or_empty().alias("_text"))
-    rows = texts.join(wanted, F.col("_d").eqNullSafe(F.col("id"))).select(*names, "_text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text_or_empty()).alias("_th"), text_or_empty().alias("_text"))
+    rows = texts.join(wanted, F.col("_d").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select(*names, "_text")
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema) + ", s array<long>")
 
 
@@ -236,17 +245,11 @@ def _links(members: DataFrame, p: Params) -> DataFrame:
     return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def resolve(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
-
-    Null text counts as empty; a row without words is linked with nothing. Rows that share an id are
-    one document where kept is concerned: component_id is theirs. A row without id has a component_id
-    only if it is linked to one that has an id, and is then not kept. An empty table gives no rows.
-    Extra columns are not carried.
-    """
+def _placed(docs: DataFrame, p: Params) -> DataFrame:
+    """Per row: doc_id, th, n_shingles, and best: the least (z, id, th) of its component, z telling a null id; null without words."""
     sigs = written(signatures(docs, p), "near-signatures")
     some = sigs.filter("fp is not null")
-    classes = written(some.groupBy("fp").agg(F.min("u").alias("node"), F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "near-classes")
+    classes = written(some.groupBy("fp").agg(F.min("u").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), "th")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "near-classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     stars = keys.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -254,29 +257,46 @@ def resolve(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sizes = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     blocks = sizes.select(F.col("component").alias("cluster"), F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = written(
-        clusters.withColumnRenamed("component", "cluster").join(blocks, "cluster").join(classes.select("node", "id", "fp", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-wanted"
+        clusters.withColumnRenamed("component", "cluster").join(blocks, "cluster").join(classes.select("node", "rep.id", "rep.th", "fp", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-wanted"
     )
-    lookup = F.broadcast(wanted) if wanted.count() * (p.k * p.bits // 8 + 64) <= BROADCAST_IDS * 24 else wanted
+    lookup = F.broadcast(wanted) if wanted.count() * (p.k * p.bits // 8 + 64) <= BROADCAST_IDS * 32 else wanted
     with arrow_rows(docs.sparkSession, 1000):  # a row has a whole shingle set
         links = written(_links(_sets(docs, lookup, p), p), "near-links")
     joined = written(components(links, "near-components"), "near-components-done")
-    # A class's component, and the smallest id in it.
-    placed = classes.select("fp", "node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = placed.join(least, "component").select("fp", "component_id")
-    # Classes of one row need no lookup; the join below has a row a class on its small side, and AQE splits a hot class.
-    out = some.select("doc_id", "n_shingles", "fp").join(by_class, "fp").select("doc_id", "n_shingles", "component_id")
-    empty = sigs.filter("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # A class's component, and the best row in it. Both sides of the join are written, so that AQE splits a hot component.
+    placed = written(classes.select("fp", "node", "rep").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    least = written(placed.groupBy("component").agg(F.min("rep").alias("best")), "near-least")
+    by_class = written(placed.join(least, "component").select("fp", "best"), "near-best")
+    # The join below has a row a class on its small side, and AQE splits a hot class.
+    out = some.select("doc_id", "th", "n_shingles", "fp").join(by_class, "fp").select("doc_id", "th", "n_shingles", "best")
+    return out.unionByName(sigs.filter("fp is null").select("doc_id", "th", "n_shingles"), allowMissingColumns=True)
+
+
+def resolve(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
+
+    Null text counts as empty; a row without words is linked with nothing. Rows that share an id are
+    one document where kept is concerned: component_id is theirs. A row without id has a component_id
+    only if it is linked to one that has an id, and is then not kept. An empty table gives no rows.
+    Extra columns are not carried.
+    """
+    rows = _placed(docs, p).select("doc_id", "n_shingles", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def near_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs less the near-duplicates: of each component the document with the smallest id stays, with all its columns.
+    """docs less the near-duplicates: of each component one row stays, with all its columns.
 
-    A row goes if its id stands for dropped rows only; rows without id stay. Texts do not shuffle
-    while the dropped ids fit a broadcast of BROADCAST_IDS rows.
+    It is the one of the smallest id, a null id last; rows that share an id go by a hash of the text,
+    rows that share both by a hash of the whole row. Rows without words all stay. Texts do not shuffle
+    while the marked keys fit a broadcast of BROADCAST_IDS rows.
     """
-    got = resolve(docs, p).select("doc_id", "kept")
-    drop = written(got.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("k")).filter("not k").select(F.col("doc_id").alias("_gone")), "near-dropped")
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_gone"], "left_anti")
+    rows = written(_placed(docs, p).filter("best is not null").groupBy("doc_id", "th").agg(F.first("best").alias("best"), F.count("*").alias("n")), "near-rows")
+    best = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), "th") == F.col("best")
+    marks = written(rows.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h"), best.alias("stays"), "n").filter("not stays or n > 1"), "near-marks")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text_or_empty()).alias("_t"))
+    marked = keyed.join(marks, F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h")), "left")
+    once = marked.filter("stays").groupBy("_d", "_t").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return marked.filter("stays is null").select("row").unionByName(once.select("row")).select("row.*")
