@@ -31,8 +31,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack(docs, default_tokenizer(), window=2048, end_id=1)
+    """Pieces of token sequences, with their ids: repeated and shortened documents cannot be told by doc_id."""
+    return packing.pack(docs, default_tokenizer(), window=2048, end_id=1, keep_ids=True)
 
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
