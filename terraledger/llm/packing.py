@@ -29,8 +29,9 @@ from .tokens import encoder, packed, portions
 #: Tails that one block balances at least, windows that they fill at least (so that the last, partly
 #: filled one weighs little), and the part of a window that their pieces have at most.
 BLOCK, FILL, CUT = 256, 16, 4
-#: Bytes of text that are encoded at once.
-PORTION = 4 << 20
+#: Bytes of text that are encoded at once, and pieces that are handed on at once; fewer where they carry their ids.
+PORTION, PORTION_IDS = 4 << 20, 1 << 20
+PIECES, PIECES_IDS = 4096, 128
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -98,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        most_rows = 512 if keep_ids else 4096
+        most_rows, portion = (PIECES_IDS, PORTION_IDS) if keep_ids else (PIECES, PORTION)
         enc, end, made = encoder(tokenizer), packed([end_id]), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         tails: list[tuple[int, int, int]] = []
@@ -130,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
 
         for b in batches:
             ids = b.column(0).to_pylist()
-            for at, n_texts in portions(b.column(1), PORTION):
+            for at, n_texts in portions(b.column(1), portion):
                 pa.default_memory_pool().release_unused()  # what the portion before needed
                 codes, ends = enc.encode_all(b.column(1).slice(at, n_texts), end)
                 for i, doc_id in enumerate(ids[at : at + n_texts]):
