@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import text_or_empty
-from .tokens import encoder, packed, portions
+from .tokens import CACHE_WORDS, encoder, packed, portions
 
 #: Tails that one block balances at least, windows that they fill at least (so that the last, partly
 #: filled one weighs little), and the part of a window that their pieces have at most.
@@ -86,7 +86,7 @@ def balanced(tails: list[tuple[int, int, int]], window: int) -> list[list[tuple[
     return []
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (and ids).
 
     A null or empty text has only its end id. Rows that share a doc_id, null included, are separate
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
         from pyspark import TaskContext
 
         most_rows, portion = (PIECES_IDS, PORTION_IDS) if keep_ids else (PIECES, PORTION)
-        enc, end, made = encoder(tokenizer), packed([end_id]), TaskContext.get().partitionId() << 40
+        enc, end, made = encoder(tokenizer, cache_words), packed([end_id]), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         tails: list[tuple[int, int, int]] = []
         held: list[tuple[int | None, int, bytes]] = []  # of each tail: doc_id, its document's ids, its own ids

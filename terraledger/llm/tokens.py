@@ -81,8 +81,8 @@ class _Pieces(dict):
 class _Words(_Pieces):
     """Ids of a space with the characters up to the next one, keyed without that space; made of pieces."""
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__(tokenizer, CACHE_WORDS)
+    def __init__(self, tokenizer, most: int) -> None:
+        super().__init__(tokenizer, most)
         self.pieces = _Pieces(tokenizer)
         self.marks = {c: self.pieces[c] for c in ".,!?;:"}
         self.newline = self.pieces["\n"]
@@ -125,23 +125,25 @@ class Encoder:
     otherwise each text is encoded in one call. Both give the same ids.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         #: Literals that the library finds in texts; a text with one is encoded in one call, without the switch.
         self.literals = [t["content"] for t in spec.get("added_tokens") or ()]
         pre = spec.get("pre_tokenizer") or {}
         free = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.words = _Words(self.tokenizer) if free and not spec.get("truncation") and not spec.get("padding") else None
+        self.words = _Words(self.tokenizer, cache_words) if free and not spec.get("truncation") and not spec.get("padding") else None
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, 4 bytes each."""
         if self.words is None or any(x in text for x in self.literals):
-            return packed(self.whole.encode(text, add_special_tokens=False).ids)
+            self.tokenizer.encode_special_tokens = False
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.tokenizer.encode_special_tokens = True
+            return packed(ids)
         if UNSURE.search(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(text) > LONG:
@@ -214,17 +216,17 @@ def portions(texts: pa.Array, most_bytes: int = BYTES_AT_ONCE) -> Iterator[tuple
         yield start, len(sizes) - start
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    if path not in _encoders:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One encoder per Python worker and file; it remembers up to twice cache_words words."""
+    if (path, cache_words) not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, cache_words] = Encoder(path, cache_words)
+    return _encoders[path, cache_words]
 
 
 def default_tokenizer() -> str:
