@@ -9,6 +9,9 @@ from terraledger.llm.runtime import new_path
 from terraledger.llm.tokens import default_tokenizer
 from terraledger.session import reachable
 
+#: Words whose ids a packing worker remembers: fewer than by default, as workers of the stages before share its memory.
+CACHE_WORDS = 100_000
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
@@ -32,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids: repeated and shortened documents cannot be told by doc_id."""
-    return packing.pack(docs, default_tokenizer(), window=2048, end_id=1, keep_ids=True)
+    return packing.pack(docs, default_tokenizer(), window=2048, end_id=1, keep_ids=True, cache_words=CACHE_WORDS)
 
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
