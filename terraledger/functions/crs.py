@@ -37,8 +37,14 @@ def _same(x: Column, y: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def _log(v: Column) -> Column:
+    """The logarithm as of IEEE numbers: -inf of 0 and NaN of less, where Spark's gives null."""
+    return F.when(v > 0, F.log(v)).when(v == 0, F.lit(-math.inf)).when(v < 0, F.lit(math.nan))
+
+
 def _to_mercator(x: Column, y: Column) -> tuple[Column, Column]:
-    return x * (_MERCATOR_RADIUS * _DEGREE), _MERCATOR_RADIUS * F.log(F.tan(F.lit(math.pi / 4) + y * (_DEGREE / 2)))
+    # Beyond the poles there is no such point: NaN.
+    return x * (_MERCATOR_RADIUS * _DEGREE), _MERCATOR_RADIUS * _log(F.tan(F.lit(math.pi / 4) + y * (_DEGREE / 2)))
 
 
 def _from_mercator(x: Column, y: Column) -> tuple[Column, Column]:

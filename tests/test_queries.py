@@ -28,3 +28,8 @@ def both(spark, sf, name):
 def test_boxes_have_no_northern_end(spark, far):
     got, want = both(spark, far, "q_bbox_filter")
     assert got == want and "(899999,)" not in got and "(240050,)" in got
+
+
+def test_metres_beyond_the_pole(spark, far):
+    got, want = both(spark, far, "q_mercator_roundtrip")
+    assert got == want and sum("nan" in r for r in got) == 49 and not any("None" in r for r in got)
