@@ -120,10 +120,10 @@ def distance_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def expanded(box: Column, metres: Column) -> Column:
-    """The box grown by metres on every side."""
-    dy = metres / 111320
-    dx = metres / F.greatest(F.lit(1.0), 111320 * F.cos(F.radians((box["y0"] + box["y1"]) / 2)))
-    return F.struct((box["x0"] - dx).alias("x0"), (box["y0"] - dy).alias("y0"), (box["x1"] + dx).alias("x1"), (box["y1"] + dy).alias("y1"))
+    """The box grown by metres on every side; null where its middle lies beyond a pole, as nothing is so many metres from there."""
+    dy, across = metres / 111320, F.cos(F.radians((box["y0"] + box["y1"]) / 2))
+    dx = metres / F.greatest(F.lit(1.0), 111320 * across)
+    return F.when(across >= 0, F.struct((box["x0"] - dx).alias("x0"), (box["y0"] - dy).alias("y0"), (box["x1"] + dx).alias("x1"), (box["y1"] + dy).alias("y1")))
 
 
 def boxes_meet(a: Column, b: Column) -> Column:

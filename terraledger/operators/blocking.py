@@ -88,6 +88,11 @@ def radius(kind: Column, policies: dict[str, Policy]) -> Column:
     return out
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """The side of a join that is not broadcast: of records in Parquet the planner knows the packed size only, a small part of what they take."""
+    return side.hint("merge")
+
+
 def in_one_cell(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs with equal keys and a cell in common, of the coarser of their levels: l, r, their boxes and levels, and the cell."""
     a, b = (d.filter("box is not null").withColumn("level", own_level(F.col("box"))) for d in (left, right))
@@ -99,8 +104,8 @@ def in_one_cell(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     # A cell holds the boxes of its own level of one side only, with whatever of the other lies in it: what is
     # small on both sides meets in small cells, however large some other boxes are.
     own = lambda level: lambda c: c["level"] == level
-    wide = dealt(a, "l", own(F.col("level"))).join(dealt(b, "r", lambda c: c["level"].isin(*on_left)), [*keys, "cell"])
-    narrow = dealt(a, "l", lambda c: (c["level"] > F.col("level")) & c["level"].isin(*on_right)).join(dealt(b, "r", own(F.col("level"))), [*keys, "cell"])
+    wide = dealt(a, "l", own(F.col("level"))).join(shuffled(dealt(b, "r", lambda c: c["level"].isin(*on_left))), [*keys, "cell"])
+    narrow = dealt(a, "l", lambda c: (c["level"] > F.col("level")) & c["level"].isin(*on_right)).join(shuffled(dealt(b, "r", own(F.col("level")))), [*keys, "cell"])
     return wide.unionByName(narrow)
 
 
@@ -123,10 +128,10 @@ def candidates(left: DataFrame, right: DataFrame, policies: dict[str, Policy], o
     apart = (F.col("l.provider_id") < F.col("r.provider_id")) if ordered else F.lit(True)
     pair = F.struct(F.col("l.provider_id").alias("l"), F.col("r.provider_id").alias("r")) if ordered else F.struct(F.lit("left").alias("l"), F.lit("right").alias("r"))
     lid, rid = (d.filter(F.size("ids") > 0).select("entity_type", F.explode("ids").alias("ident"), row(d)) for d in (left, right))
-    shared = lid.withColumnRenamed("row", "l").join(rid.withColumnRenamed("row", "r"), ["entity_type", "ident"]).filter(apart)
+    shared = lid.withColumnRenamed("row", "l").join(shuffled(rid.withColumnRenamed("row", "r")), ["entity_type", "ident"]).filter(apart)
     shared = shared.withColumn("pair", pair).groupBy("pair", F.col("l.id").alias("lid"), F.col("r.id").alias("rid")).agg(F.first("l").alias("l"), F.first("r").alias("r"), F.min("ident").alias("stable"))
     grown = left.select(F.col("entity_type").alias("k"), row(left), F.when(F.col("box").isNotNull(), geometry.expanded(F.col("box"), radius(F.col("entity_type"), policies))).alias("box"))
     near = box_pairs(grown, right.select(F.col("entity_type").alias("k"), row(right), "box"), ["k"], apart)
     near = near.select(pair.alias("pair"), F.col("l.id").alias("lid"), "l", "r")
-    near = near.join(shared.select("pair", "lid").distinct(), ["pair", "lid"], "left_anti")
+    near = near.join(shuffled(shared.select("pair", "lid").distinct()), ["pair", "lid"], "left_anti")
     return shared.select("pair", "l", "r", "stable").unionByName(near.select("pair", "l", "r", F.lit(None).cast("string").alias("stable")))

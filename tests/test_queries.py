@@ -38,3 +38,11 @@ def test_metres_beyond_the_pole(spark, far):
 def test_geometries_beyond_the_pole(spark, far):
     got, want = both(spark, far, "q_transform_geojson")
     assert got == want and not any("None" in r for r in got)
+
+
+def test_candidates_at_and_beyond_the_pole(spark, far):
+    """Every place of the row at the pole is near all others there, none beyond it is near anything; no side is broadcast, however well it packs."""
+    got, want = both(spark, far, "q_spatial_candidates")
+    assert got == want and any("240039" in r for r in got) and not any("480017" in r for r in got)
+    plan = entry.queries()["q_spatial_candidates"](spark, far)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
