@@ -407,3 +407,31 @@ def test_ends_are_extended_over_insertions():
     x, y = text(100), text(100)
     y[50:55] = x[50:55]
     assert substring_dedup.aligned(x, y, [50], [50], p) == (50, 55, 50, 55, 5)
+
+
+def test_passage_whose_only_seed_has_other_neighbours(spark):
+    """130 words, each eighth changed and two put in on either side of the one seed in common: 109 of 134 agree."""
+    import numpy as np
+
+    p, rng, rows = substring_dedup.Params(), random.Random(4), []
+    text = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+
+    def common(a, b):
+        s = substring_dedup.seeds([substring_dedup.word_codes(" ".join(t)) for t in (a, b)], p)
+        return np.intersect1d(s.h[s.text == 0], s.h[s.text == 1]), s
+
+    while len(rows) < 12:
+        mid, ends = text(130), [text(20) for _ in range(4)]
+        other = [f"edit{len(rows)}x{i}" if i % 8 == 7 else w for i, w in enumerate(mid)]
+        both, s = common(ends[0] + mid + ends[1], ends[2] + other + ends[3])
+        if not len(both):
+            continue
+        at = int(s.at[(s.text == 0) & (s.h == both[0])][0]) - 20
+        if not 30 <= at <= 95:
+            continue
+        other = other[:at] + text(2) + other[at : at + p.k] + text(2) + other[at + p.k :]
+        pair = ends[0] + mid + ends[1], ends[2] + other + ends[3]
+        if len(common(*pair)[0]) == 1:
+            rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(pair)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id // 2 for r in got if r.doc_id // 2 == r.other_id // 2} == set(range(6))
