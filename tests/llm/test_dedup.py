@@ -435,3 +435,62 @@ def test_passage_whose_only_seed_has_other_neighbours(spark):
             rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(pair)]
     got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id // 2 for r in got if r.doc_id // 2 == r.other_id // 2} == set(range(6))
+
+
+def test_pairs_that_meet_by_chance_do_not_send_their_words(spark):
+    """1,500 pairs of documents share 16 words somewhere and nothing else, one pair shares a passage: few bytes move."""
+    rng = random.Random(8)
+    text = lambda n: [f"v{rng.randrange(1_000_000)}" for _ in range(n)]
+    docs, passage = [text(1_200) for _ in range(150)], text(60)
+    for _ in range(1_500):
+        phrase = text(16)
+        for i in rng.sample(range(150), 2):
+            at = rng.randrange(1_184)
+            docs[i][at : at + 16] = phrase
+    docs[20][600:660], docs[90][300:360] = passage, passage
+    rows = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    core, limit = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled():
+        core.listenerBus().waitUntilEmpty()
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spans(substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(found) == {20, 90} and found[20] >= set(range(600, 660)) and found[90] >= set(range(300, 360))
+    moved = shuffled() - before
+    assert 0 < moved < 2 * sum(len(t) for _, t in rows), moved / sum(len(t) for _, t in rows)
+
+
+def test_bytes_pass_whatever_words_pass():
+    import numpy as np
+    import pyarrow as pa
+
+    p, rng = substring_dedup.Params(), np.random.default_rng(3)
+    n, quarter = p.min_words, p.min_words // 4
+    exact, got, cases = [], [], []
+    for i in range(3_000):
+        x, y = (rng.integers(0, 1 << 32, int(rng.integers(20, 300)), np.uint32) for _ in range(2))
+        c, d = int(rng.integers(0, len(x) - 4)), int(rng.integers(0, len(y) - 4))
+        for j in range(-70, 75):  # words around agree, some of them shifted
+            shift = j // 20 if i % 3 == 0 else 0
+            if 0 <= c + j < len(x) and 0 <= d + j + shift < len(y) and (0 <= j < p.k or rng.random() < (i % 11) / 10):
+                y[d + j + shift] = x[c + j]
+        a, b = [c], [d]
+        if i % 2 and c + 30 < len(x) - 4 and d + 30 < len(y) - 4:
+            a, b = [c, c + 30], [d, d + int(rng.integers(20, 31))]
+        exact.append(not substring_dedup.hopeless(x.view(np.int32), y.view(np.int32), a, b, p))
+        drift = [d - c, b[-1] - a[-1]]
+        lo, end = max(0, c - n), a[-1] + p.k + n
+        xs, ys = x[lo:end], y[max(0, lo + min(drift) - quarter) : end + max(drift) + quarter]
+        cases.append((xs.astype(np.uint8).tobytes(), ys.astype(np.uint8).tobytes(), a[0], a[-1], b[0], b[-1]))
+    xs, ys, *ends = zip(*cases)
+    got = substring_dedup.hopeful(pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), *map(np.array, ends), p)
+    exact = np.array(exact)
+    assert got[exact].all() and 300 < exact.sum() < 2_700
+    # A byte agrees by chance at times, seldom enough for that to matter.
+    assert got[~exact].sum() < 0.25 * (~exact).sum()
